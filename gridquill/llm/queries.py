@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridquill.llm import mixing, tokens
+from gridquill.llm import canon, encoding, mixing, tokens
 from gridquill.session import read
 
 
@@ -22,8 +23,25 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(read(spark, folder, "documents"), read(spark, folder, "source_targets"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    got = canon.assign(read(spark, folder, "gt_tables"), "table_no", "section_title", read(spark, folder, "section_list"))
+    return got.select("table_no", F.col("entry_id").alias("section_id"))
+
+
+def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    return canon.unmatched(read(spark, folder, "gt_tables"), "table_no", "section_title", read(spark, folder, "section_list"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.found(read(spark, folder, "documents"))
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.restore(read(spark, folder, "documents"), affected_only=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p4_found, p4_unmatched, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
