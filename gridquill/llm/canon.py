@@ -25,9 +25,9 @@ from gridquill.session import delivered_once
 
 #: Least similarity of a value to the entry it is given.
 LEAST = 0.78
-#: Characters that recognition confuses, folded to one of them, and pairs read as one letter.
+#: Characters that recognition confuses, folded to one of them, and pairs (of folded characters) read as one letter.
 CONFUSED = str.maketrans({"1": "l", "|": "l", "!": "l", "i": "l", "j": "l", "0": "o", "c": "e", "6": "b", "h": "b", "9": "g", "q": "g", "5": "s", "$": "s", "v": "y", "8": "b", "3": "e"})
-READ_AS = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("vv", "w"))
+READ_AS = (("rn", "m"), ("rl", "n"), ("el", "d"), ("ll", "u"), ("yy", "w"))
 #: Words that add nothing to a name, and words that only accompany an alias.
 EMPTY = {"and", "of", "the", "on", "in", "for", "a", "an", "to", "with"}
 COMPANY = {"continued", "contd", "cont", "part", "results", "result", "analysis", "data", "study", "studies", "section", "measurements", "spectra"}
@@ -51,9 +51,10 @@ def bare(value: str) -> str:
 
 
 def fold(text: str) -> str:
+    text = text.translate(CONFUSED)
     for pair, one in READ_AS:
         text = text.replace(pair, one)
-    return text.translate(CONFUSED)
+    return text
 
 
 def squeeze(text: str) -> str:

@@ -302,15 +302,10 @@ def alike(word: str, chain: str, model: Classifier) -> str | None:
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """The classifier learnt from the words of ``sample`` documents taken by hash."""
-    rows = (
-        documents.select("doc_id", F.expr(f"left(text, {SAMPLE_CHARS})").alias("t"))
-        .where("length(t) > 0")
-        .orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-        .limit(sample)
-        .select("t")
-        .collect()  # at most ``sample`` texts of ``SAMPLE_CHARS`` characters
-    )
+    """The classifier learnt from the words of about ``sample`` documents taken by hash."""
+    share = min(1.0, sample / max(documents.count(), 1))
+    taken = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 33) < int(share * 2**31)
+    rows = documents.where(taken).select(F.expr(f"left(text, {SAMPLE_CHARS})").alias("t")).where("length(t) > 0").limit(2 * sample).collect()  # at most 2 * sample short texts
     words: Counter[str] = Counter()
     for (text,) in rows:
         words.update(words_of(text))
