@@ -6,11 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridquill.operators import records, units
+from gridquill.session import read
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return records.entries(read(spark, folder, "corpus_records"))
+
+
+def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return records.documents(records.triples(read(spark, folder, "corpus_records")))
+
+
+def p1_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return records.tables(records.triples(read(spark, folder, "corpus_records")))
+
+
+def p1_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return records.cells(records.triples(read(spark, folder, "corpus_records")))
+
+
+def p1_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    return records.mentions(records.triples(read(spark, folder, "corpus_records")))
+
+
+def _measured(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
+    return tuple(read(spark, folder, t) for t in ("gt_cells", "gt_tables", "gt_mentions", "unit_targets"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return units.found(*_measured(spark, folder))
+
+
+def p3_converted(spark: SparkSession, folder: str) -> DataFrame:
+    return units.converted(*_measured(spark, folder))
+
+
+def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return units.sources(*_measured(spark, folder))
+
+
+PROBLEMS = (p1_found, p1_documents, p1_tables, p1_cells, p1_mentions, p3_found, p3_converted, p3_sources)
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in PROBLEMS}
 
 
 def oracle_sql() -> dict[str, str]:
