@@ -18,7 +18,7 @@ Documents without pages are searched for headers of the usual journal forms only
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridquill.llm.canon import distance, fold
-from gridquill.session import delivered_once, settled
+from gridquill.session import settled
 
 #: Least share and number of a frequent word; how much more frequent a word must be than its misreading.
 SHARE, LEAST, TIMES = 2e-6, 4, 25
@@ -37,8 +37,10 @@ DIVIDERS = "-¬­‐‑"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 SPREAD = str.maketrans(LIGATURES)
 PAGE_NUMBER = re.compile(r"(?:(?:page|p\.|pg\.?|seite|s\.)\s*)?[–—|\[({-]*\s*(?:S-?)?\d{1,4}\s*[–—|\])}-]*|page\s+\d{1,4}\s+of\s+\d{1,4}|\d{1,4}\s*/\s*\d{1,4}", re.I)
-JOURNAL = re.compile(r"[^\W\d_]{3,} et al\.? ?/ ?[^\n/]{4,40}? \d{1,4} \(\d{4}\) \d{1,5}(?:\s+\d{1,4}(?=\s|$))?", re.I)
-JOURNAL_LINE = re.compile(r"^[ \t]*(?:[^\W\d_]+\.? ?){2,6}, \d{4}, \d{1,4}, \d{1,5}(?:\s+\d{1,4})?[ \t]*$", re.M)
+JOURNAL = re.compile(r"\b[^\W\d_]{3,} et al\.? ?/ ?[^\n/]{4,40}? \d{1,4} \(\d{4}\) \d{1,5}(?:\s+\d{1,4}(?=\s|$))?", re.I)
+JOURNAL_LINE = re.compile(r"^[ \t]*[^\W\d_]+\.?(?: [^\W\d_]+\.?){1,5}, \d{4}, \d{1,4}, \d{1,5}(?:\s+\d{1,4})?[ \t]*$", re.M)
+#: Cheap signs without which a form can't occur.
+ET_AL, DATED, AT_GAP = re.compile(r"et al\.? ?/", re.I), re.compile(r", \d{4}, \d"), re.compile(rf"[{DIVIDERS}]\s")
 DIVIDED = re.compile(rf"([^\W_]+)([{DIVIDERS}])([ \t]*\n\s*|[ \t]+)([^\W_]+)")
 WORD = re.compile(r"[^\W_](?:[^\W_]|[|!$](?=[^\W_]))*(?:[|!$](?=[^\W_])[^\W_]+)*|[|!$](?=[^\W\d_]{2})[^\W_|!$]+")
 
@@ -111,37 +113,41 @@ class Repair:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
         self.flat: dict[str, str] = {}
+        self.sound: dict[str, bool] = {}
 
-    def header(self, text: str, headers: list[str]) -> tuple[str, bool]:
-        found = False
+    def header(self, text: str, headers: Sequence[str]) -> tuple[str, bool]:
+        found, flat = False, _flat(text) if len(headers) else ""
         for h in headers:
             key = self.flat.get(h)
             if key is None:
                 if len(self.flat) > 50_000:
                     self.flat.clear()
                 key = self.flat[h] = _flat(h)
-            if len(key) < 8 or key not in _flat(text):
+            if len(key) < 8 or key not in flat:
                 continue
             found = True
             cleaned = _header_pattern(h).sub(" ", text)
             if cleaned == text:  # misread characters within the header: its line goes
                 cleaned = "\n".join(x for x in text.split("\n") if key not in _flat(x))
-            text = cleaned
-        for form in (JOURNAL, JOURNAL_LINE):
-            cleaned = form.sub(" ", text)
-            if cleaned != text:
-                found, text = True, cleaned
+            text, flat = cleaned, _flat(cleaned)
+        for sign, form in ((ET_AL, JOURNAL), (DATED, JOURNAL_LINE)):
+            if sign.search(text):
+                cleaned = form.sub(" ", text)
+                if cleaned != text:
+                    found, text = True, cleaned
         return text, found
 
     def page_number(self, text: str) -> tuple[str, bool]:
-        lines = text.split("\n")
-        if len(lines) < 2:
+        if "\n" not in text:
             return text, False
-        kept = [x for x in lines if not (x.strip() and PAGE_NUMBER.fullmatch(x.strip()))]
+        lines = text.split("\n")
+        kept = [x for x in lines if not (0 < len(x) < 30 and PAGE_NUMBER.fullmatch(x.strip()))]
         return "\n".join(kept), len(kept) < len(lines)
 
     def divided(self, text: str) -> tuple[str, bool]:
         found = False
+        if not AT_GAP.search(text):
+            return text, found
 
         def join(m: re.Match[str]) -> str:
             nonlocal found
@@ -165,6 +171,16 @@ class Repair:
         return sign != "-" or not (self.lexicon.known(a) and self.lexicon.known(b))
 
     def characters(self, text: str) -> tuple[str, bool]:
+        suspect = False
+        for token in text.split():
+            sound = self.sound.get(token)
+            if sound is None:
+                if len(self.sound) > 200_000:
+                    self.sound.clear()
+                sound = self.sound[token] = not self._misread(token)
+            suspect |= not sound
+        if not suspect:
+            return text, False
         plain = text.translate(SPREAD)
         found = plain != text
         words = [(m[0], m.start(), m.end()) for m in WORD.finditer(plain)]
@@ -178,6 +194,10 @@ class Repair:
                     at, found = end, True
         return "".join(out) + plain[at:] if out else plain, found
 
+    def _misread(self, token: str) -> bool:
+        plain = token.translate(SPREAD)
+        return plain != token or any(self.lexicon.neighbours(m[0].lower()) for m in WORD.finditer(plain))
+
     def reflow(self, text: str) -> str:
         """Paragraphs parted by a blank line; a blank line within a sentence parts nothing."""
         blocks = [re.sub(r"\s+", " ", b).strip() for b in re.split(r"\n\s*\n", text)]
@@ -189,22 +209,20 @@ class Repair:
                 out.append(b)
         return "\n\n".join(out)
 
-    def all(self, text: str, headers: list[str]) -> tuple[str, list[str]]:
+    def all(self, text: str, headers: Sequence[str], reflow: bool = True) -> tuple[str | None, list[str]]:
         defects, text = [], text.replace("\r\n", "\n")
         for name, step in (("header", lambda t: self.header(t, headers)), ("pageno", self.page_number), ("hyphen", self.divided), ("chars", self.characters)):
             text, found = step(text)
             if found:
                 defects.append(name)
-        return self.reflow(text), defects
+        return self.reflow(text) if reflow else None, defects
 
 
 def texts(tables: DataFrame, mentions: DataFrame) -> DataFrame:
-    """field, item_id, document_id, engine, text of captions and mentions, each once."""
-    captions = delivered_once(tables.select("table_no", "document_id", "engine", "caption"), "table_no")
-    passages = delivered_once(mentions.select("mention_id", "document_id", "engine", "text"), "mention_id")
+    """field, item_id, document_id, engine, text of captions and mentions, as delivered."""
     return (
-        captions.select(F.lit("caption").alias("field"), F.col("table_no").alias("item_id"), "document_id", "engine", F.col("caption").alias("text"))
-        .unionByName(passages.select(F.lit("mention").alias("field"), F.col("mention_id").alias("item_id"), "document_id", "engine", "text"))
+        tables.select(F.lit("caption").alias("field"), F.col("table_no").alias("item_id"), "document_id", "engine", F.col("caption").alias("text"))
+        .unionByName(mentions.select(F.lit("mention").alias("field"), F.col("mention_id").alias("item_id"), "document_id", "engine", "text"))
         .where("length(text) > 0")
     )
 
@@ -241,30 +259,39 @@ def vectors(sample: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def learn(items: DataFrame, pages: DataFrame) -> Lexicon:
+def learn(items: DataFrame, pages: DataFrame, n_items: int) -> Lexicon:
     """The lexicon of all captions, mentions and pages."""
     counts = word_counts(items.select("text"), pages.select("text"))
     counted = settled(counts.where(f"n >= {LEAST}"))
     whole = counted.agg(F.sum("n")).first()[0] or 0
     frequent = {r["word"]: r["n"] for r in counted.where(F.col("n") >= SHARE * whole).collect()}  # at most 1 / SHARE words
-    share = min(1.0, VECTOR_TEXTS / max(items.count(), 1))
+    share = min(1.0, VECTOR_TEXTS / max(n_items, 1))
     taken = F.shiftrightunsigned(F.xxhash64("field", "item_id", F.lit("vectors")), 33) < int(share * 2**31)
     sample = items.where(taken).limit(2 * VECTOR_TEXTS).select(words("text").alias("words")).coalesce(2)
     return Lexicon(frequent, vectors(sample))
 
 
 def running_headers(pages: DataFrame) -> DataFrame:
-    """document_id, headers array<string>: lines that open or close two or more pages of a document."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    edge = F.array_distinct(F.concat(F.slice(lines, 1, 2), F.when(F.size(lines) > 2, F.slice(lines, -2, 2)).otherwise(F.array().cast("array<string>"))))
+    """document_id, headers array<string>: lines that open or close pages of a document, two at least and a twentieth of them."""
+    text = F.trim(F.col("text"), F.lit("\n "))
+    edge = F.split(F.concat_ws("\n", F.substring_index(text, "\n", 3), F.substring_index(text, "\n", -4)), "\n")
     line = F.regexp_replace(F.trim("line"), r"^\d{1,4}\s+|\s+\d{1,4}$", "")
     masked = F.regexp_replace(F.lower(line), r"\d+", "#")
-    return (
-        pages.select("document_id", "page", F.explode(edge).alias("line"))
-        .where(r"line not rlike '^\\s*#' and length(line) between 8 and 160 and line rlike '\\p{L}{3}'")
-        .groupBy("document_id", masked.alias("header"))
-        .agg(F.size(F.collect_set("page")).alias("n"))  # at most the pages of one document
+    lines = (
+        pages.where("text is not null")
+        .select("document_id", "page", F.explode(F.array_append(edge, F.lit("<page>"))).alias("line"))
+        .where(r"line = '<page>' or (line not rlike '^\\s*#' and length(line) between 8 and 160 and line rlike '\\p{L}{3}')")
+        .select("document_id", masked.alias("header"), "page")
+        .distinct()
+        .groupBy("document_id", "header")
+        .agg(F.count(F.lit(1)).alias("n"))
         .where("n >= 2")
+    )
+    size = lines.where("header = '<page>'").select("document_id", F.col("n").alias("pages"))
+    return (
+        lines.where("header <> '<page>'")
+        .join(size, "document_id")
+        .where("n >= 0.05 * pages")  # so at most eighty of a document
         .groupBy("document_id")
         .agg(F.collect_list("header").alias("headers"))
     )
@@ -272,14 +299,20 @@ def running_headers(pages: DataFrame) -> DataFrame:
 
 def repaired(tables: DataFrame, mentions: DataFrame, pages: DataFrame) -> DataFrame:
     """field, item_id, text (repaired), defects array<string>; one row per text."""
+    checked = _checked(tables, mentions, pages, reflow=True)
+    return checked.dropDuplicates(["field", "item_id"])
+
+
+def _checked(tables: DataFrame, mentions: DataFrame, pages: DataFrame, reflow: bool) -> DataFrame:
+    """The texts as delivered with their defects; without ``reflow`` the text itself is left out."""
     items = texts(tables, mentions)
-    lexicon = learn(items, pages)
+    lexicon = learn(items, pages, tables.count() + mentions.count())
     shared = items.sparkSession.sparkContext.broadcast(lexicon)  # at most 1 / SHARE words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = Repair(shared.value)
         for batch in batches:
-            got = [tool.all(t, [] if h is None else list(h)) for t, h in zip(batch["text"], batch["headers"], strict=True)]
+            got = [tool.all(t, () if h is None else h, reflow) for t, h in zip(batch["text"], batch["headers"], strict=True)]
             yield pd.DataFrame({"field": batch["field"], "item_id": batch["item_id"], "text": [g[0] for g in got], "defects": [g[1] for g in got]})
 
     joined = items.join(running_headers(pages), "document_id", "left").select("field", "item_id", "text", "headers")
@@ -288,4 +321,4 @@ def repaired(tables: DataFrame, mentions: DataFrame, pages: DataFrame) -> DataFr
 
 def found(tables: DataFrame, mentions: DataFrame, pages: DataFrame) -> DataFrame:
     """field, item_id, defect: one row for each text and defect it has."""
-    return repaired(tables, mentions, pages).select("field", "item_id", F.explode("defects").alias("defect"))
+    return _checked(tables, mentions, pages, reflow=False).select("field", "item_id", F.explode("defects").alias("defect")).distinct()
