@@ -39,7 +39,7 @@ ENDING = re.compile(r"[\s.:;,*_–—-]*(?:\(?\s*cont(?:inue|[’'`]?)d\.?\s*\)?
 
 def bare(value: str) -> str:
     """The value without numbering, mark-up, continuation notes; lower case, single spaces."""
-    text = re.sub(r"[\s_  -​ 　]+", " ", value.replace("­", "")).strip()
+    text = re.sub(r"[\s_\u00a0\u2000-\u200b\u202f\u3000]+", " ", value.replace("\u00ad", "")).strip()
     before = None
     while before != text:
         before = text

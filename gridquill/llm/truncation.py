@@ -178,7 +178,7 @@ class Endings:
 
 def judged(tables: DataFrame, mentions: DataFrame, pages: DataFrame) -> DataFrame:
     """field, item_id, engine, n_chars, censored (posterior), cut_odds, cut boolean: one row per text."""
-    items = texts(tables, mentions)
+    items = texts(tables, mentions).dropDuplicates(["field", "item_id"])
     spark = items.sparkSession
     lengths = items.groupBy("field", "engine", F.length("text").alias("n")).agg(F.count(F.lit(1)).alias("c")).toPandas()  # sources x distinct lengths
     prior: dict[tuple[str, str | None], dict[int, float]] = {}
@@ -194,7 +194,7 @@ def judged(tables: DataFrame, mentions: DataFrame, pages: DataFrame) -> DataFram
 
     captions = items.where("field = 'caption'")
     whole = captions.mapInPandas(count, "w string, n bigint, p bigint, e bigint").groupBy("w").agg(*[F.sum(c).alias(c) for c in "npe"])
-    least = max(2, int(SHARE * WORDS * 15 * max(captions.count(), 1)))
+    least = max(2, int(SHARE * WORDS * 15 * max(tables.count(), 1)))
     table = {r["w"]: (r["n"], r["p"], r["e"]) for r in whole.where(F.col("n") >= least).collect()}  # at most 1 / SHARE contexts
     shared = spark.sparkContext.broadcast((table, prior))
 
@@ -207,7 +207,7 @@ def judged(tables: DataFrame, mentions: DataFrame, pages: DataFrame) -> DataFram
                 n = len(text)
                 p = rates.get((field, engine if isinstance(engine, str) else None), {}).get(n, LOST)
                 plain = text.replace("\r\n", "\n")
-                bare, _ = clean.header(plain, [] if headers is None else list(headers))
+                bare, _ = clean.header(plain, () if headers is None else headers)
                 bare, _ = clean.page_number(bare)
                 if not bare.strip() or BARE_LABEL.fullmatch(bare.strip()):
                     odds = -20.0
