@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridquill.operators import records, units
+from gridquill.plans import corpus_queries, text_queries
 from gridquill.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,9 +52,13 @@ def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
 PROBLEMS = (p1_found, p1_documents, p1_tables, p1_cells, p1_mentions, p3_found, p3_converted, p3_sources)
 
 
+MODULES = (text_queries, corpus_queries)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in PROBLEMS}
+    every = [*PROBLEMS, *(q for m in MODULES for q in m.QUERIES)]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for m in MODULES for name, text in m.SQL.items()}
