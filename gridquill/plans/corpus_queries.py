@@ -538,25 +538,29 @@ def _matches(links: DataFrame) -> DataFrame:
 
 def q_l9_link_scores(spark: SparkSession, d: str) -> DataFrame:
     links = _links(spark, d)
-    return L.evaluate_links(links, _matches(links)).select("document_id", "evaluable_sentences", "tables", "top1", F.round("mrr", 2).alias("mrr"), "none_rate", "numeric_top1", "random_top1", "row_evaluable", "row_top1", "column_evaluable", "column_top1")
+    return L.evaluate_links(links, _matches(links)).select("document_id", "evaluable_sentences", "tables", "top1", F.round(F.col("mrr") * F.col("evaluable_sentences") * 60).cast("bigint").alias("rr_sixtieths"), "none_rate", "numeric_top1", "random_top1", "row_evaluable", "row_top1", "column_evaluable", "column_top1")
 
 
-SQL["q_l9_link_scores"] = f"""
+_SCORES = f"""
 with {_LINKS}, d as (select document_id, count(distinct t) n, list(distinct t::varchar) ns from w group by 1 having count(distinct t) >= 2),
 x as (select w.*, d.n, (k % 4) + 1 as target, ((k + t) % 3 = 0)::int as sup from w join d using (document_id) where list_contains(d.ns, ((k % 4) + 1)::varchar)),
 b as (select *, max(sup) over (partition by sentence_id) best from x),
 s as (select document_id, sentence_id, any_value(n) n, max((rk = 1 and t = target)::int) top1, max(case when t = target then 1.0::double / rk else 0 end) rr, max((rk = 1 and q >= p)::int) none_,
   (max(best) > 0 and count(*) filter (sup = best) = 1 and bool_or(t = target and sup = best))::int num, max(case when t = target and sup = 1 then ((k % 3) = (k % 2))::int end) rh, max(case when t = target and sup = 1 then 1 end) ch from b group by 1, 2)
-select document_id, count(*) evaluable_sentences, any_value(n) tables, round(avg(top1), 4) top1, round(round(avg(rr), 4), 2) mrr, round(avg(none_), 4) none_rate, round(avg(num), 4) numeric_top1, round(1.0::double / any_value(n), 4) random_top1,
+select document_id, count(*) evaluable_sentences, any_value(n) tables, round(avg(top1), 4) top1, round(avg(rr), 4) mrr, round(avg(none_), 4) none_rate, round(avg(num), 4) numeric_top1, round(1.0::double / any_value(n), 4) random_top1,
   count(rh) row_evaluable, round(avg(rh), 4) row_top1, count(ch) column_evaluable, round(avg(ch), 4) column_top1 from s group by 1"""
 
 
+SQL["q_l9_link_scores"] = f"select * exclude (mrr), round(mrr * evaluable_sentences * 60)::bigint as rr_sixtieths from ({_SCORES})"
+
+
 def q_l10_pooled(spark: SparkSession, d: str) -> DataFrame:
-    return L.pooled(q_l9_link_scores(spark, d)).select("evaluable_sentences", "row_evaluable", "column_evaluable", "top1", "mrr", "none_rate", "numeric_top1", "random_top1", "row_top1", "column_top1")
+    links = _links(spark, d)
+    return L.pooled(L.evaluate_links(links, _matches(links))).select("evaluable_sentences", "row_evaluable", "column_evaluable", "top1", "mrr", "none_rate", "numeric_top1", "random_top1", "row_top1", "column_top1")
 
 
 SQL["q_l10_pooled"] = f"""
-with e as ({SQL["q_l9_link_scores"]})
+with e as ({_SCORES})
 select sum(evaluable_sentences)::bigint evaluable_sentences, sum(row_evaluable)::bigint row_evaluable, sum(column_evaluable)::bigint column_evaluable, """ + ", ".join(f"round(sum({r} * {w}) / sum(case when {r} is not null then {w} end), 4) as {r}" for r, w in L.RATES.items()) + " from e"
 
 

@@ -1,13 +1,15 @@
 """Corpus JSON in and out, label files, file listings.
 
-Cells are strings, integers or floats in JSON; they are read as text tokens that keep their kind
-(the raw JSON of a row is parsed per cell), so 2 and 2.0 stay apart.
+Cells are strings, integers or floats in JSON; a UDF reads them with their kind, so that 2 and
+2.0 stay apart, everything else is parsed in the JVM.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +40,13 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     A damaged or missing file gives no rows. Files are read whole; each is one task.
     """
     schema = f"documents array<struct<{_struct(DOCUMENT)}>>, {DOCUMENT}"
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    parsed = raw.select(F.from_json("value", schema).alias("j"), F.try_parse_json("value").alias("v"))
-    docs = parsed.where("v is not null").select(F.posexplode(F.coalesce("j.documents", F.array(F.struct(*[F.col(f"j.{c}").alias(c) for c in ("document_id", "source_pdf", "title", "num_tables", "tables")])))).alias("doc_pos", "d"), "v")
-    base = F.when(F.try_variant_get("v", "$.documents", "variant").isNotNull(), F.concat(F.lit("$.documents["), "doc_pos", F.lit("]"))).otherwise("$")
-    each = docs.select("doc_pos", "d.*", F.to_json("v").alias("raw"), base.alias("base")).where("document_id is not null")
-    typed = F.pandas_udf(_typed_rows, f"array<array<array<{CELL}>>>")
-    rows = each.withColumn("cells", typed("raw", "base"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    typed = F.pandas_udf(_typed_rows, f"array<array<array<array<{CELL}>>>>")
+    parsed = raw.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema).alias("j"), typed("value").alias("cells"))
+    alone = F.array(F.struct(*[F.col(f"j.{c}").alias(c) for c in ("document_id", "source_pdf", "title", "num_tables", "tables")]))
+    each = parsed.select(F.posexplode(F.coalesce("j.documents", alone)).alias("doc_pos", "d"), "cells").select("doc_pos", "d.*", F.get("cells", F.col("doc_pos")).alias("cells"))
     tables = F.transform("tables", lambda t, i: t.withField("rows", F.get("cells", i)))
-    return rows.select("doc_pos", "document_id", "source_pdf", "title", "num_tables", tables.alias("tables"))
+    return each.where("document_id is not null").select("doc_pos", "document_id", "source_pdf", "title", "num_tables", tables.alias("tables"))
 
 
 def _struct(ddl: str) -> str:
@@ -60,25 +60,19 @@ def _struct(ddl: str) -> str:
     return ",".join(out)
 
 
-def _typed_rows(raw, base):
-    import json
+def _typed_rows(values: pd.Series) -> pd.Series:
+    """The cells of each file: documents, tables, rows, cells."""
 
-    import pandas as pd
-
-    def cell(v):
-        if v is None or isinstance(v, bool):
-            return {"kind": "m", "s": "-", "i": None, "d": None} if v is None else {"kind": "s", "s": str(v), "i": None, "d": None}
-        if isinstance(v, int):
-            return {"kind": "i", "s": str(v), "i": v, "d": None}
-        if isinstance(v, float):
-            return {"kind": "f", "s": repr(v), "i": None, "d": v}
-        return {"kind": "m" if v == "-" else "s", "s": str(v), "i": None, "d": None}
+    def cell(v: object) -> dict[str, object]:
+        kind = "m" if v is None or v == "-" else "i" if isinstance(v, int) and not isinstance(v, bool) else "f" if isinstance(v, float) else "s"
+        text = "-" if kind == "m" else repr(v) if kind == "f" else str(v)
+        return {"kind": kind, "s": text, "i": v if kind == "i" else None, "d": v if kind == "f" else None}
 
     out = []
-    for text, path in zip(raw, base, strict=True):
+    for text in values:
         root = json.loads(text)
-        doc = root if path == "$" else root["documents"][int(path[len("$.documents[") : -1])]
-        out.append([[[cell(c) for c in row] for row in t.get("rows") or []] for t in doc.get("tables") or []])
+        docs = root["documents"] if isinstance(root, dict) and "documents" in root else [root]
+        out.append([[[[cell(c) for c in row] for row in t.get("rows") or []] for t in d.get("tables") or []] for d in docs if isinstance(d, dict)])
     return pd.Series(out)
 
 
