@@ -81,6 +81,8 @@ NAMES: dict[str, tuple[str, ...]] = {
 _BY_NAME = sorted(((n, q) for q, names in NAMES.items() for n in names), key=lambda x: -len(x[0]))
 _ELEMENT = re.compile(r"[A-Z][a-z]? (?:loading|content)\b", re.I)
 _SUBSTANCE = re.compile(r"[A-Za-z0-9]+ concentration\b", re.I)
+#: What a label of a quantity starts with: cheap to test before ``quantity_of``.
+STARTS = r"(?i)^[\s\u00a0*$]*(?:" + "|".join(re.escape(n) for n, _ in _BY_NAME) + r"|[A-Z][a-z]?[\s\u00a0]+(?:loading|content)|[A-Z0-9]+[\s\u00a0]+concentration)"
 _TOKEN = re.compile(r"(wt%|[A-Za-z]+|\d+(?:\.\d+)?)(?:\^?\(?([+-]?\d+)\)?)?")
 
 
