@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridquill.llm.canon import distance, fold
@@ -287,11 +287,11 @@ def running_headers(pages: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n >= 2")
     )
-    size = lines.where("header = '<page>'").select("document_id", F.col("n").alias("pages"))
+    # the lines that repeat within a document; its number of pages stands among them
+    pages_of = F.max(F.when(F.col("header") == "<page>", F.col("n"))).over(Window.partitionBy("document_id"))
     return (
-        lines.where("header <> '<page>'")
-        .join(size, "document_id")
-        .where("n >= 0.05 * pages")  # so at most eighty of a document
+        lines.withColumn("pages", pages_of)
+        .where("header <> '<page>' and n >= 0.05 * pages")  # so at most 140 of a document
         .groupBy("document_id")
         .agg(F.collect_list("header").alias("headers"))
     )
