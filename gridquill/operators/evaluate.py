@@ -8,6 +8,7 @@ first equal page; cells on their position. All of these are equi-joins on pre-ag
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,20 +31,36 @@ def harmonic(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Tokens that two bags share, each as often as in both."""
-    count = lambda bag, t: F.size(F.filter(bag, lambda x: x == t))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, t: acc + F.least(count(a, t), count(b, t)))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def bag(tokens: Column) -> Column:
+    """A bag of tokens as a set: the n-th occurrence of a token is its own element."""
+    return let(F.array_sort(tokens), lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit(" "), (i - F.array_position(s, t)).cast("string"))))
+
+
+def score_struct(gold: Column, predicted: Column) -> Column:
+    """struct<precision,recall,f1> of two columns that hold bags; two empty ones agree, one empty one fails."""
+
+    def from_overlap(both: Column) -> Column:
+        n, m = F.size(gold), F.size(predicted)
+        either = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0)
+        pr = F.struct(F.coalesce(either, both / F.greatest(m, F.lit(1))).alias("precision"), F.coalesce(either, both / F.greatest(n, F.lit(1))).alias("recall"))
+        return let(pr, lambda x: F.struct(x["precision"].alias("precision"), x["recall"].alias("recall"), harmonic(x["precision"], x["recall"]).alias("f1")))
+
+    return let(F.size(F.array_intersect(gold, predicted)).cast("double"), from_overlap)
+
+
+def scores_of(gold: Column, predicted: Column) -> Scores:
+    s = score_struct(gold, predicted)
+    return Scores(s["precision"], s["recall"], s["f1"])
 
 
 def token_scores(gold: Column, predicted: Column) -> Scores:
-    """Precision, recall, F1 of two token arrays; two empty ones agree, one empty one fails."""
-    n, m = F.size(gold), F.size(predicted)
-    both = overlap(gold, predicted).cast("double")
-    either = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0)
-    p = F.coalesce(either, both / F.greatest(m, F.lit(1)))
-    r = F.coalesce(either, both / F.greatest(n, F.lit(1)))
-    return Scores(p, r, harmonic(p, r))
+    """As ``scores_of``, of two token arrays."""
+    return scores_of(bag(gold), bag(predicted))
 
 
 def bag_scores(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
@@ -114,47 +131,50 @@ def cell_scores(gold: DataFrame, predicted: DataFrame, pairs: DataFrame) -> Data
     return x.select("gold_table", F.when(~same, 0.0).when(F.col("g_n").isNotNull(), F.coalesce("hits", F.lit(0)) / F.col("g_n")).alias("cell_accuracy"))
 
 
-def header_scores(gold: Column, predicted: Column) -> Scores:
-    """Mean token scores of headers in the same place; null where the widths differ."""
+def header_scores(gold: Column, predicted: Column) -> Column:
+    """Mean token scores, as ``score_struct``, of headers in the same place, from two arrays of bags; null where the widths differ."""
     n = F.size(gold)
-    pairs = F.arrays_zip(F.transform(gold, lambda h: T.words(T.scientific(h))).alias("g"), F.transform(predicted, lambda h: T.words(T.scientific(h))).alias("p"))
 
-    def mean(field: str) -> Column:
-        each = F.transform(pairs, lambda x: getattr(token_scores(x["g"], x["p"]), field))
-        return F.when(n != F.size(predicted), None).when(n == 0, 1.0).otherwise(F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v) / n)
+    def means(each: Column) -> Column:
+        mean = lambda k: F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v[k]) / n
+        one = F.struct(*[F.lit(1.0).alias(k) for k in ("precision", "recall", "f1")])
+        return F.when(n == 0, one).otherwise(F.struct(*[mean(k).alias(k) for k in ("precision", "recall", "f1")]))
 
-    return Scores(mean("precision"), mean("recall"), mean("f1"))
+    return F.when(n == F.size(predicted), let(F.zip_with(gold, predicted, score_struct), means))
 
 
-def mention_scores(gold: Column, predicted: Column, threshold: float = SOFT) -> dict[str, Column]:
-    """Scores of two arrays of mention texts: exact recall, soft recall, precision, F1, accuracy, mean token F1.
+def mention_scores(pairs: DataFrame, gold: str, predicted: str, threshold: float = SOFT) -> DataFrame:
+    """``pairs`` with mention_exact_recall, _recall, _precision, _f1, _accuracy, _mean_token_f1 of two array columns.
 
     A mention is hit if some other-side mention reaches ``threshold`` in F1 or in the share of
-    reference tokens found. The arrays of one table are compared within its row.
+    reference tokens found. The mentions of one table are compared within its row, each pair once.
     """
-    g, p = (F.filter(x, lambda m: F.length(m) > 0) for x in (gold, predicted))
-    gn, pn = F.transform(g, T.scientific), F.transform(p, T.scientific)
-    gt, pt = F.transform(gn, T.words), F.transform(pn, T.words)
-    n, m = F.size(g), F.size(p)
+    said = lambda c: F.filter(c, lambda m: F.length(m) > 0)
+    x = pairs.withColumns({"_gn": F.transform(said(gold), lambda m: T.scientific(m)), "_pn": F.transform(said(predicted), lambda m: T.scientific(m))})
+    x = x.withColumns({"_gb": F.transform("_gn", lambda m: bag(T.words(m))), "_pb": F.transform("_pn", lambda m: bag(T.words(m)))})
+
+    x = x.withColumn("_s", F.transform("_gb", lambda a: F.transform("_pb", lambda b: score_struct(a, b))))
+    x = x.withColumn("_m", F.transform("_s", lambda row: F.transform(row, lambda s: F.struct(s["f1"].alias("f1"), ((s["f1"] >= threshold) | (s["recall"] >= threshold)).alias("hit")))))
+    n, m = F.size("_gn"), F.size("_pn")
+    found = F.size(F.filter("_m", lambda row: F.exists(row, lambda c: c["hit"]))).cast("double")
+    right = F.size(F.filter(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))), lambda j: F.exists("_m", lambda row: F.coalesce(F.get(row, j)["hit"], F.lit(False))))).cast("double")
+    best = F.aggregate(F.transform("_m", lambda row: F.coalesce(F.array_max(F.transform(row, lambda c: c["f1"])), F.lit(0.0))), F.lit(0.0), lambda acc, v: acc + v)
+    x = x.withColumns({"_found": found, "_right": right, "_best": best, "_same": F.size(F.array_intersect("_gn", "_pn"))})
     either = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0)
-
-    def hit(a: Column, b: Column) -> Column:
-        s = token_scores(a, b)
-        return (s.f1 >= threshold) | (s.recall >= threshold)
-
-    found = F.size(F.filter(gt, lambda a: F.exists(pt, lambda b: hit(a, b)))).cast("double")
-    right = F.size(F.filter(pt, lambda b: F.exists(gt, lambda a: hit(a, b)))).cast("double")
-    best = F.transform(gt, lambda a: F.array_max(F.transform(pt, lambda b: token_scores(a, b).f1)))
     one = lambda v: F.coalesce(either, v)
-    recall, precision = found / F.greatest(n, F.lit(1)), right / F.greatest(m, F.lit(1))
-    return {
-        "exact_recall": one(F.size(F.array_intersect(gn, pn)) / F.greatest(n, F.lit(1))),
-        "recall": one(recall),
-        "precision": one(precision),
-        "f1": one(harmonic(recall, precision)),
-        "accuracy": one(F.coalesce(F.try_divide(found, found + (m - right) + (n - found)), F.lit(1.0))),
-        "mean_token_f1": one(F.aggregate(best, F.lit(0.0), lambda acc, v: acc + v) / F.greatest(n, F.lit(1))),
+    recall, precision = F.col("_found") / F.greatest(n, F.lit(1)), F.col("_right") / F.greatest(m, F.lit(1))
+    out = {
+        "mention_exact_recall": one(F.col("_same") / F.greatest(n, F.lit(1))),
+        "mention_recall": one(recall),
+        "mention_precision": one(precision),
+        "mention_f1": one(harmonic(recall, precision)),
+        "mention_accuracy": one(F.coalesce(F.try_divide(F.col("_found"), F.col("_found") + (m - F.col("_right")) + (n - F.col("_found"))), F.lit(1.0))),
+        "mention_mean_token_f1": one(F.col("_best") / F.greatest(n, F.lit(1))),
     }
+    return x.withColumns(out).drop("_gn", "_pn", "_gb", "_pb", "_s", "_m", "_found", "_right", "_best", "_same")
+
+
+MENTIONS = ["mention_exact_recall", "mention_recall", "mention_precision", "mention_f1", "mention_accuracy", "mention_mean_token_f1"]
 
 
 def score_tables(gold: DataFrame, predicted: DataFrame, gold_cells: DataFrame, predicted_cells: DataFrame, documents: DataFrame) -> DataFrame:
@@ -164,18 +184,17 @@ def score_tables(gold: DataFrame, predicted: DataFrame, gold_cells: DataFrame, p
     g = gold.select(F.col("table_id").alias("gold_table"), *[F.col(c).alias(f"g_{c}") for c in names])
     p = predicted.select(F.col("table_id").alias("pred_table"), *[F.col(c).alias(f"p_{c}") for c in names])
     x = pairs.join(g, "gold_table").join(p, "pred_table", "left").join(cell_scores(gold_cells, predicted_cells, pairs), "gold_table", "left")
-    for side in ("g", "p"):
-        for c in ("caption", "section_title"):
-            x = x.withColumn(f"{side}_{c}", T.scientific(latex.expanded(F.coalesce(f"{side}_{c}", F.lit("")))))
-    token = lambda c: token_scores(T.words(F.col(f"g_{c}")), T.words(F.col(f"p_{c}")))
+    sides = ("g", "p")
+    x = x.withColumns({f"{s}_{c}": T.scientific(latex.expanded(F.coalesce(f"{s}_{c}", F.lit("")))) for s in sides for c in ("caption", "section_title")})
+    x = x.withColumns({f"{s}_columns": F.transform(f"{s}_columns", lambda h: T.scientific(h)) for s in sides})
+    x = x.withColumns({f"{s}_{c}_bag": bag(T.words(F.col(f"{s}_{c}"))) for s in sides for c in ("caption", "section_title")} | {f"{s}_heads": F.transform(f"{s}_columns", lambda h: bag(T.words(h))) for s in sides})
+    x = mention_scores(x, "g_mentions", "p_mentions")
     exact = lambda c: (F.col(f"g_{c}") == F.col(f"p_{c}")).cast("double")
-    heads = header_scores(F.col("g_columns"), F.col("p_columns"))
-    same_heads = (F.transform("g_columns", T.scientific) == F.transform("p_columns", T.scientific)).cast("double")
-    said = mention_scores(F.col("g_mentions"), F.col("p_mentions"))
-    scores: dict[str, Column] = {"caption_exact": exact("caption"), "columns_exact": same_heads, "section_exact": exact("section_title")}
-    for name, s in (("caption", token("caption")), ("columns", heads), ("section", token("section_title"))):
-        scores |= {f"{name}_precision": s.precision, f"{name}_recall": s.recall, f"{name}_f1": s.f1}
-    scores |= {"cells": F.col("cell_accuracy")} | {f"mention_{k}": v for k, v in said.items()}
+    x = x.withColumns({f"_{c}": score_struct(F.col(f"g_{c}_bag"), F.col(f"p_{c}_bag")) for c in ("caption", "section_title")} | {"_columns": header_scores(F.col("g_heads"), F.col("p_heads"))})
+    scores: dict[str, Column] = {"caption_exact": exact("caption"), "columns_exact": exact("columns"), "section_exact": exact("section_title")}
+    for name, s in (("caption", "_caption"), ("columns", "_columns"), ("section", "_section_title")):
+        scores |= {f"{name}_{k}": F.col(s)[k] for k in ("precision", "recall", "f1")}
+    scores |= {"cells": F.col("cell_accuracy")} | {c: F.col(c) for c in MENTIONS}
     matched = F.col("pred_table").isNotNull()
     return x.select("gold_id", "pred_id", "gold_table", "pred_table", matched.alias("matched"), *[F.when(matched, F.round(v, 4)).alias(k) for k, v in scores.items()])
 
