@@ -13,6 +13,7 @@ from gridquill.operators import claims as L
 from gridquill.operators import context as X
 from gridquill.operators import corpus as C
 from gridquill.operators import evaluate as E
+from gridquill.plans import pipelines as P
 from gridquill.plans import sql as S
 from gridquill.session import read, shared_folder
 from gridquill.sources.corpus import ground_truth
@@ -593,6 +594,22 @@ select labeled, missing_sentences, text_mismatches, recovered_by_text, tp, fp, f
   role_labeled, round(rh::double / role_labeled, 4) as role_accuracy, type_labeled, 1.0 as type_accuracy, table_labeled, round(th::double / table_labeled, 4) as table_accuracy, no_table_labeled, round(nh::double / no_table_labeled, 4) as no_table_accuracy from c"""
 
 
+def q_l13_link_run(spark: SparkSession, d: str) -> DataFrame:
+    """A whole linking run without a model: mentions as sentences, the reference's tables; links by status and source."""
+    t, c = ground_truth(spark, d)
+    m = read(spark, d, "gt_mentions").dropDuplicates(["mention_id"]).where("text is not null")
+    sentences = m.select("document_id", F.col("mention_id").alias("sent_pos"), _text("s", _str("mention_id")).alias("sentence_id"), "page", F.lit("3. Results").alias("section"), T.scientific(F.col("text")).alias("text")).withColumn("table_refs", T.table_references(F.col("text")))
+    row = c.groupBy("table_id", "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_no", "cell"))), lambda x: x["cell"]).alias("r"))
+    grid = row.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "r"))), lambda x: x["r"]).alias("rows"))
+    tables = t.drop("mentions").withColumn("caption", F.coalesce("caption", F.lit(""))).join(grid, "table_id")
+    # a compendium's sentences meet only the tables that they can be ranked against: those of one volume
+    volume = lambda df, by: df.withColumn("document_id", F.concat_ws("/", "document_id", (F.col(by) / 50).cast("int").cast("string")))
+    own = m.select("mention_id", "table_no")
+    sentences = volume(sentences.join(own, F.col("sent_pos") == F.col("mention_id")), "table_no").drop("mention_id", "table_no")
+    _, links = P.link_claims(sentences, volume(tables, "table_pos"))
+    return links.groupBy("status", F.array_join("link_sources", "+").alias("sources")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_l12_histogram(spark: SparkSession, d: str) -> DataFrame:
     return L.histogram(q_l8_status(spark, d), "status").select(F.explode("counts").alias("status", "n"))
 
