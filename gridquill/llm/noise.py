@@ -39,6 +39,9 @@ SPREAD = str.maketrans(LIGATURES)
 PAGE_NUMBER = re.compile(r"(?:(?:page|p\.|pg\.?|seite|s\.)\s*)?[–—|\[({-]*\s*(?:S-?)?\d{1,4}\s*[–—|\])}-]*|page\s+\d{1,4}\s+of\s+\d{1,4}|\d{1,4}\s*/\s*\d{1,4}", re.I)
 JOURNAL = re.compile(r"\b[^\W\d_]{3,} et al\.? ?/ ?[^\n/]{4,40}? \d{1,4} \(\d{4}\) \d{1,5}(?:\s+\d{1,4}(?=\s|$))?", re.I)
 JOURNAL_LINE = re.compile(r"^[ \t]*[^\W\d_]+\.?(?: [^\W\d_]+\.?){1,5}, \d{4}, \d{1,4}, \d{1,5}(?:\s+\d{1,4})?[ \t]*$", re.M)
+#: A line of two authors at least and nothing else; a line in capitals that is no caption.
+AUTHORS_LINE = re.compile(r"^[ \t]*[^\W\d_a-z][^\W\d_]{3,}(?:, [^\W\d_a-z][^\W\d_]{3,})* (?:and|AND) [^\W\d_a-z][^\W\d_]{3,}(?:\s+\d{1,4})?[ \t]*$", re.M)
+CAPITALS_LINE = re.compile(r"^(?!\s*(?:TABLE|TAB)\b)[ \t]*(?=[^\n]{24})[^\Wa-z][^\na-z]*[^\W\d_a-z]{4}[^\na-z]*$", re.M)
 #: Cheap signs without which a form can't occur.
 ET_AL, DATED, AT_GAP = re.compile(r"et al\.? ?/", re.I), re.compile(r", \d{4}, \d"), re.compile(rf"[{DIVIDERS}]\s")
 DIVIDED = re.compile(rf"([^\W_]+)([{DIVIDERS}])([ \t]*\n\s*|[ \t]+)([^\W_]+)")
@@ -135,6 +138,11 @@ class Repair:
                 cleaned = form.sub(" ", text)
                 if cleaned != text:
                     found, text = True, cleaned
+        if "\n" in text:
+            for form in (AUTHORS_LINE, CAPITALS_LINE):
+                cleaned = form.sub(" ", text)
+                if cleaned != text and cleaned.strip():
+                    found, text = True, cleaned
         return text, found
 
     def page_number(self, text: str) -> tuple[str, bool]:
