@@ -107,7 +107,7 @@ def _flat(text: str) -> str:
 
 def _header_pattern(header: str) -> re.Pattern[str]:
     parts = [re.escape(p).replace("\\#", r"\d+").replace("#", r"\d+") for p in header.split()]
-    return re.compile(r"(?:(?<=\s)\d{1,4}\s+|^\d{1,4}\s+)?" + r"\s+".join(parts) + r"(?:\s+\d{1,4}(?=\s*\n|\s*$|\s+[^\W\d_A-Z]{3}))?", re.I)
+    return re.compile(r"(?:(?<=\s)\d{1,4}\s+|^\d{1,4}\s+)?" + r"\s+".join(parts) + r"(?:(?:\s+\d{1,5}){1,2}(?=\s*\n|\s*$|\s+[^\W\d_A-Z]{3}))?", re.I)
 
 
 class Repair:
@@ -288,7 +288,7 @@ def running_headers(pages: DataFrame) -> DataFrame:
     lines = (
         pages.where("text is not null")
         .select("document_id", "page", F.explode(F.array_append(edge, F.lit("<page>"))).alias("line"))
-        .where(r"line = '<page>' or (line not rlike '^\\s*#' and length(line) between 8 and 160 and line rlike '\\p{L}{3}')")
+        .where(r"line = '<page>' or (line not rlike '^\\s*#' and length(line) between 8 and 160 and line rlike '\\p{L}{3}' and line rlike '^[^\\p{Ll}]' and line not rlike '[.;?!]$')")
         .select("document_id", masked.alias("header"), "page")
         .distinct()
         .groupBy("document_id", "header")
