@@ -294,11 +294,11 @@ def _explain_once(word: str, model: Classifier) -> tuple[str, str] | None:
 
 
 def alike(word: str, chain: str, model: Classifier) -> str | None:
-    """The restored form of a short word in a document where the chain is proven by longer ones."""
-    scores = model.scores(word)
-    if scores[NAMES.index(chain)] <= scores[0] or not (got := invert(word, chain)) or not model.sane(got):
+    """The restored form of a short word in a document where the chain is proven by other words."""
+    if not (got := invert(word, chain)) or not model.sane(got):
         return None
-    return got
+    scores = model.scores(word)
+    return got if chain.startswith("utf-8") or scores[NAMES.index(chain)] > scores[0] else None
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Classifier:
@@ -335,7 +335,7 @@ def restore(documents: DataFrame, model: Classifier | None = None, affected_only
                         if got:
                             by[got[0]] += 1
                             swap[w] = got[1]
-                    for chain in [c for c in by if c != "lost" and not c.startswith("utf-8")]:
+                    for chain in [c for c in by if c != "lost"]:
                         for w in words_of(text) - swap.keys():
                             if (more := alike(w, chain, judge)) is not None:
                                 by[chain] += 1
