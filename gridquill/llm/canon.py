@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +51,7 @@ def bare(value: str) -> str:
     return text
 
 
+@lru_cache(maxsize=100_000)
 def fold(text: str) -> str:
     text = text.translate(CONFUSED)
     for pair, one in READ_AS:
@@ -81,12 +83,26 @@ def distance(a: str, b: str) -> int:
     return score
 
 
+@lru_cache(maxsize=100_000)
+def _letters(text: str) -> int:
+    """The characters of a folded text as a bit set."""
+    out = 0
+    for c in fold(text):
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+@lru_cache(maxsize=200_000)
 def alike(a: str, b: str) -> float:
+    """Similarity of two words: edits as typed, or as recognition reads them."""
     if a == b:
         return 1.0
-    x, y = fold(a), fold(b)
     if abs(len(a) - len(b)) > 3 + max(len(a), len(b)) // 4:
         return 0.0
+    m, n = _letters(a), _letters(b)
+    if 2 * (m & n).bit_count() < max(m.bit_count(), n.bit_count()):
+        return 0.0  # too few letters in common for any likeness that counts
+    x, y = fold(a), fold(b)
     return max(1 - distance(a, b) / max(len(a), len(b)), 0.97 - distance(x, y) / max(len(x), len(y)))
 
 
@@ -189,7 +205,9 @@ def assign(values: DataFrame, key: str, value: str, entries: DataFrame) -> DataF
 
     kind = values.schema[key].dataType.simpleString()
     rows = delivered_once(values.select(F.col(key).alias("k"), F.col(value).alias("v")).where(r"v rlike '[^\\s\\u00a0]'"), "k")
-    return rows.mapInPandas(run, f"k {kind}, v string, entry_id int, score double, pass string").withColumnsRenamed({"k": key, "v": value})
+    # matching is slow for its few bytes, so tasks are many; by key, as one value may hold a third of all rows
+    tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * values.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "k").mapInPandas(run, f"k {kind}, v string, entry_id int, score double, pass string").withColumnsRenamed({"k": key, "v": value})
 
 
 def unmatched(values: DataFrame, key: str, value: str, entries: DataFrame) -> DataFrame:
