@@ -207,7 +207,7 @@ def assign(values: DataFrame, key: str, value: str, entries: DataFrame) -> DataF
     rows = delivered_once(values.select(F.col(key).alias("k"), F.col(value).alias("v")).where(r"v rlike '[^\\s\\u00a0]'"), "k")
     # matching is slow for its few bytes, so tasks are many; by key, as one value may hold a third of all rows
     tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * values.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, "k").mapInPandas(run, f"k {kind}, v string, entry_id int, score double, pass string").withColumnsRenamed({"k": key, "v": value})
+    return rows.repartition(tasks, F.xxhash64("k")).mapInPandas(run, f"k {kind}, v string, entry_id int, score double, pass string").withColumnsRenamed({"k": key, "v": value})
 
 
 def unmatched(values: DataFrame, key: str, value: str, entries: DataFrame) -> DataFrame:
