@@ -59,6 +59,19 @@ def fold(text: str) -> str:
     return text
 
 
+@lru_cache(maxsize=200_000)
+def glyph_keys(word: str) -> frozenset[str]:
+    """The folded forms of a word; pairs can be read in different orders ("riins": r-ii-n-s or ri-i-n-s)."""
+    plain = word.translate(CONFUSED)
+    u_first, u_last = plain.replace("ll", "u"), plain[::-1].replace("ll", "u")[::-1]
+    out = {fold(word)}
+    for t in (plain, u_first, u_last):
+        for pair, one in (("rl", "n"), ("rn", "m"), ("el", "d"), ("ll", "u"), ("yy", "w")):
+            t = t.replace(pair, one)
+        out.add(t)
+    return frozenset(out)
+
+
 def squeeze(text: str) -> str:
     return re.sub(r"[^\w|!$]+", "", text)
 

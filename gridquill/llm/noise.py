@@ -18,6 +18,7 @@ Documents without pages are searched for headers of the usual journal forms only
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridquill.llm.canon import distance, fold
+from gridquill.llm.canon import distance, fold, glyph_keys
 from gridquill.session import settled
 
 #: Least share and number of a frequent word; how much more frequent a word must be than its misreading.
@@ -63,13 +64,23 @@ class Lexicon:
         self.by_key: dict[str, list[str]] = {}
         for word in self.counts:
             if "-" not in word and sum(c.isalpha() for c in word) >= 2:
-                self.by_key.setdefault(fold(word), []).append(word)
+                for key in glyph_keys(word):
+                    self.by_key.setdefault(key, []).append(word)
+        self.sorted = sorted(self.counts)
         self.seen: dict[str, list[str]] = {}
 
     def known(self, word: str) -> int:
         """The count of a word, or of the word it may be a misreading of."""
         w = word.lower()
-        return self.counts.get(w, 0) or max((self.counts[c] for c in self.by_key.get(fold(w), ())), default=0)
+        return self.counts.get(w, 0) or max((self.counts[c] for c in self._near(w)), default=0)
+
+    def _near(self, word: str) -> set[str]:
+        return {c for key in glyph_keys(word) for c in self.by_key.get(key, ())}
+
+    def begins(self, word: str) -> bool:
+        """Whether a frequent word goes on where this one, lower case, ends."""
+        at = bisect_right(self.sorted, word)
+        return at < len(self.sorted) and self.sorted[at].startswith(word)
 
     def neighbours(self, word: str) -> list[str]:
         """Frequent words of which this one, lower case, may be a misreading."""
@@ -79,7 +90,7 @@ class Lexicon:
                 self.seen.clear()
             n = self.counts.get(word, 0)
             letters = sum(c.isalpha() for c in word)
-            near = self.by_key.get(fold(word), ()) if letters > 1 and len(word) > 2 else ()
+            near = sorted(self._near(word)) if letters > 1 and len(word) > 2 else ()
             got = [c for c in near if c != word and c.isalpha() and self.counts[c] >= TIMES * max(n, 1 / 5) and distance(c, word) <= max(2, 0.45 * len(word))]
             most = max((self.counts[c] for c in got), default=0)
             got = [c for c in got if self.counts[c] * TIMES > most]  # not one misreading for another
@@ -194,7 +205,8 @@ class Repair:
         words = [(m[0], m.start(), m.end()) for m in WORD.finditer(plain)]
         out, at = [], 0
         for k, (w, start, end) in enumerate(words):
-            if self.lexicon.neighbours(w.lower()):
+            unfinished = k + 1 == len(words) and end == len(plain.rstrip()) and self.lexicon.begins(w.lower())
+            if not unfinished and self.lexicon.neighbours(w.lower()):
                 around = [x for x, _, _ in words[max(0, k - 4) : k + 5] if x is not w]
                 right = self.lexicon.corrected(w, around)
                 if right and right != w:
