@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridquill.functions.units import DEGREES, si, tidy
 from gridquill.llm.noise import Lexicon, Repair, running_headers, texts
 
 #: Rate of texts cut in transfer, and of cuts at any given word of a caption.
@@ -37,7 +38,7 @@ CLOSED = re.compile(r"[.!?][”’\"')\]]*\s*$")
 ABBREVIATED = re.compile(r"(?:\b(?:fig|tab|figs|eq|ref|refs|no|vs|ca|cf|approx|et al|e\.g|i\.e)|\b[a-z]\.[a-z])\.$", re.I)
 NUMBER_END = re.compile(r"(?:^|\s)[<>~±(]*\d+\.$")
 DIVISION = re.compile(r"(?<=[^\W\d_])[-¬\u00ad‐‑](?:[ \t]*\r?\n\s*|[ \t]+)(?=[a-z])(?!and\b)")
-TOKEN = re.compile(r"<ref>|[^\W_](?:[^\W_]|[-/^+%·](?=[^\W_]))*[%]?|#[^\W_]*|[°µμ]\w*|[,;:.()]")
+TOKEN = re.compile(r"<ref>|[^\W_](?:[^\W_]|[-/^+%·|!$](?=[^\W_]))*[%]?|#[^\W_]*|[°µμ]\w*|[,;:.()]")
 
 
 def tokens(text: str) -> list[str]:
@@ -59,7 +60,7 @@ def contexts(captions: list[str]) -> dict[str, list[int]]:
             last = i + 1 == len(t)
             if last and marked:
                 continue
-            phrase = not last and t[i + 1] in ",;:.("
+            phrase = not last and t[i + 1] in ";.("
             for n in range(1, WORDS + 1):
                 if i + 1 < n:
                     break
@@ -120,8 +121,9 @@ def limits(lengths: np.ndarray, counts: np.ndarray) -> dict[int, float]:
 class Endings:
     """How likely a text is complete, judged by its last words."""
 
-    def __init__(self, table: dict[str, tuple[int, int, int]]):
+    def __init__(self, table: dict[str, tuple[int, int, int]], captions: int = 0):
         self.table = table
+        self.common = min(TRUSTED, max(2, captions // 400))
         self.lexicon = Lexicon({w: n for w, (n, _, _) in table.items() if " " not in w and w.isalpha()})
         self.heads: set[str] = set()
         for word in table:
@@ -142,16 +144,21 @@ class Endings:
             return -3.0
         if text.count("[") > text.count("]"):
             return 5.0
+        stated = re.search(r"(?:\bin|:) ([^.:;,]{1,24})$", text.rstrip())
+        if stated and (si(stated[1]) is not None or tidy(stated[1]) in DEGREES):
+            return -2.5  # a unit, as in "band gap in eV"
+        last = t[-1]
+        if len(last) == 1 and last.isalpha() and len(t) > 1 and t[-2].isalpha() and t[-2] not in ("in", "parameter"):
+            return 4.6  # a letter, and no unit after a number
+        t[-WORDS:] = [(self.lexicon.neighbours(w) or [w])[0] for w in t[-WORDS:]]
         last = t[-1]
-        if not self._known(last) and (near := self.lexicon.neighbours(last)):
-            t[-1] = last = near[0]
         if self._known(last):
             for n in range(min(WORDS, len(t)), 0, -1):
                 seen, phrases, finals = self.table.get(" ".join(t[-n:]), (1, 0, 1))
-                seen, finals = seen - 1, finals - 1  # without the text in question
+                seen, ends = seen - 1, phrases + finals - 1  # without the text in question
                 if seen >= TRUSTED or n == 1:
-                    ends = max(0.0, (phrases + finals + 0.02) / max(seen, 1) - AT_WORD)
-                    return max(-3.5, min(4.6, math.log(0.05 / (ends + 5e-4))))
+                    sure = max(0.0, ends - math.sqrt(max(ends, 0))) / max(seen, 1)  # cut texts end there too
+                    return max(-3.5, min(4.6, math.log(0.05 / (max(0.0, sure - AT_WORD) + 5e-4))))
         parts = re.split(r"[-/]", last)
         if len(parts) > 1 and all(map(self._known, parts)):
             return -1.8
@@ -160,6 +167,8 @@ class Endings:
     def _known(self, word: str) -> bool:
         """Seen elsewhere than at the end of a text, where it may be unfinished."""
         n, _, finals = self.table.get(word, (0, 0, 0))
+        if n - finals < self.common and word in self.heads and word.isalpha():
+            return False  # rare, and other words go on from it
         return n > finals + (finals > 20 * (n - finals))
 
     def odds(self, field: str, text: str, at_limit: bool) -> float:
@@ -194,13 +203,14 @@ def judged(tables: DataFrame, mentions: DataFrame, pages: DataFrame) -> DataFram
 
     captions = items.where("field = 'caption'")
     whole = captions.mapInPandas(count, "w string, n bigint, p bigint, e bigint").groupBy("w").agg(*[F.sum(c).alias(c) for c in "npe"])
-    least = max(2, int(SHARE * WORDS * 15 * max(tables.count(), 1)))
+    n_captions = tables.count()
+    least = max(2, int(SHARE * WORDS * 15 * max(n_captions, 1)))
     table = {r["w"]: (r["n"], r["p"], r["e"]) for r in whole.where(F.col("n") >= least).collect()}  # at most 1 / SHARE contexts
     shared = spark.sparkContext.broadcast((table, prior))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, rates = shared.value
-        endings, clean = Endings(known), Repair(Lexicon({}))
+        endings, clean = Endings(known, n_captions), Repair(Lexicon({}))
         for batch in batches:
             rows = []
             for field, item, engine, text, headers in zip(*(batch[c] for c in ("field", "item_id", "engine", "text", "headers")), strict=True):
