@@ -8,7 +8,6 @@ first equal page; cells on their position. All of these are equi-joins on pre-ag
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,14 +30,9 @@ def harmonic(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def bag(tokens: Column) -> Column:
     """A bag of tokens as a set: the n-th occurrence of a token is its own element."""
-    return let(F.array_sort(tokens), lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit(" "), (i - F.array_position(s, t)).cast("string"))))
+    return T.let(F.array_sort(tokens), lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit(" "), (i - F.array_position(s, t)).cast("string"))))
 
 
 def score_struct(gold: Column, predicted: Column) -> Column:
@@ -48,9 +42,9 @@ def score_struct(gold: Column, predicted: Column) -> Column:
         n, m = F.size(gold), F.size(predicted)
         either = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0)
         pr = F.struct(F.coalesce(either, both / F.greatest(m, F.lit(1))).alias("precision"), F.coalesce(either, both / F.greatest(n, F.lit(1))).alias("recall"))
-        return let(pr, lambda x: F.struct(x["precision"].alias("precision"), x["recall"].alias("recall"), harmonic(x["precision"], x["recall"]).alias("f1")))
+        return T.let(pr, lambda x: F.struct(x["precision"].alias("precision"), x["recall"].alias("recall"), harmonic(x["precision"], x["recall"]).alias("f1")))
 
-    return let(F.size(F.array_intersect(gold, predicted)).cast("double"), from_overlap)
+    return T.let(F.size(F.array_intersect(gold, predicted)).cast("double"), from_overlap)
 
 
 def scores_of(gold: Column, predicted: Column) -> Scores:
@@ -140,7 +134,7 @@ def header_scores(gold: Column, predicted: Column) -> Column:
         one = F.struct(*[F.lit(1.0).alias(k) for k in ("precision", "recall", "f1")])
         return F.when(n == 0, one).otherwise(F.struct(*[mean(k).alias(k) for k in ("precision", "recall", "f1")]))
 
-    return F.when(n == F.size(predicted), let(F.zip_with(gold, predicted, score_struct), means))
+    return F.when(n == F.size(predicted), T.let(F.zip_with(gold, predicted, score_struct), means))
 
 
 def mention_scores(pairs: DataFrame, gold: str, predicted: str, threshold: float = SOFT) -> DataFrame:
