@@ -153,8 +153,10 @@ def pivot(parsed: DataFrame, group: str, keys: list[str], fields: dict[str, str]
     for name in arrays:
         cells = F.sort_array(F.collect_set(F.when(F.col("path") == name, F.struct("cell_no", "value"))))
         columns.append(F.transform(cells, lambda c: c["value"]).alias(name))
-    rest = F.map_from_entries(F.sort_array(F.collect_set(F.when(~F.col("path").isin(known), F.struct("path", F.coalesce("value", F.lit("null")))))))
-    return own.groupBy(*keys).agg(F.max("table_id").alias("table_id"), *columns, rest.alias("other"))
+    rest = F.sort_array(F.collect_set(F.when(~F.col("path").isin(known), F.struct("path", F.coalesce("value", F.lit("null")).alias("value")))))
+    flat = own.groupBy(*keys).agg(F.max("table_id").alias("table_id"), *columns, rest.alias("other"))
+    last = F.filter("other", lambda e, i: ~F.coalesce(F.get("other", i + 1)["path"] == e["path"], F.lit(False)))  # a field once
+    return flat.withColumn("other", F.map_from_entries(last))
 
 
 TABLE_KEYS = ["record_id", "doc_no", "table_no"]
