@@ -5,7 +5,7 @@ targeted sources, each document once). A source is first taken whole as often as
 allows, at most ``max_repeats`` times; of the next round only the documents whose hash lies
 under a threshold are taken. The threshold comes from histograms of tokens by source and hash
 bucket: the bucket in which the budget ends is found, and only that bucket is split again,
-until it holds one document or the hash is used up. Nothing is sorted or collected but one
+until it holds one document (taken if that is nearer to the budget) or the hash is used up. Nothing is sorted or collected but one
 row per source and level; thresholds are nested, so a larger budget only adds documents.
 
 Sources without a target, null sources and documents without tokens (null, empty) are no part
@@ -68,11 +68,13 @@ def thresholds(sizes: DataFrame, plan: list[dict]) -> dict[str, int]:
             limit = F.when(F.col("source") == s, F.lit(float(rest[s]))).otherwise(limit)
         by = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**BITS cells a source
         ends = cells.withColumn("sum", F.sum("n").over(by)).where(F.col("sum") > limit)
-        found = ends.groupBy("source").agg(F.min_by(F.struct("b", "docs", (F.col("sum") - F.col("n")).alias("before")), "b").alias("e")).collect()
+        found = ends.groupBy("source").agg(F.min_by(F.struct("b", "docs", "n", (F.col("sum") - F.col("n")).alias("before")), "b").alias("e")).collect()
         for r in found:
             s = r["source"]
             at[s], rest[s] = r["e"]["b"] << shift, rest[s] - r["e"]["before"]
             if r["e"]["docs"] == 1:
+                if r["e"]["n"] - rest[s] < rest[s]:  # with it the source is nearer to its budget
+                    at[s] += 1 << shift
                 open_.pop(s)
         for s in set(open_) - {r["source"] for r in found}:  # the whole round fits the budget
             at[s] = 1 << 60
@@ -97,7 +99,7 @@ def _taken(sizes: DataFrame, plan: list[dict]) -> DataFrame:
 
 
 def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, path: str = VOCABULARY) -> DataFrame:
-    """source, target_share, max_repeats, documents, tokens, actual_share, reached, one row per target.
+    """source, target_share, max_repeats, documents, tokens, budget_tokens, actual_share, reached, one row per target.
 
     ``actual_share`` is of the mixture as it came out; ``reached`` says whether the source filled
     its budget to a hundredth. Where a source falls short, the others' actual shares rise.
@@ -110,7 +112,7 @@ def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, p
     out = asked.join(got, "source", "left").fillna(0, ["documents", "tokens"])
     all_ = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # one row per target
     share = F.coalesce(F.try_divide(F.col("tokens").cast("double"), all_.cast("double")), F.lit(0.0))
-    least = F.lit(0.0)
+    budget = F.lit(0.0)
     for p in plan:
-        least = F.when(F.col("source") == p["source"], 0.99 * p["budget"]).otherwise(least)
-    return out.withColumn("actual_share", share).withColumn("reached", F.col("tokens") >= least)
+        budget = F.when(F.col("source") == p["source"], float(p["budget"])).otherwise(budget)
+    return out.withColumns({"budget_tokens": F.round(budget).cast("bigint"), "actual_share": share, "reached": F.col("tokens") >= 0.99 * budget})
