@@ -602,12 +602,8 @@ def q_l13_link_run(spark: SparkSession, d: str) -> DataFrame:
     row = c.groupBy("table_id", "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_no", "cell"))), lambda x: x["cell"]).alias("r"))
     grid = row.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "r"))), lambda x: x["r"]).alias("rows"))
     tables = t.drop("mentions").withColumn("caption", F.coalesce("caption", F.lit(""))).join(grid, "table_id")
-    # a compendium's sentences meet only the tables that they can be ranked against: those of one volume
-    volume = lambda df, by: df.withColumn("document_id", F.concat_ws("/", "document_id", (F.col(by) / 50).cast("int").cast("string")))
-    own = m.select("mention_id", "table_no")
-    sentences = volume(sentences.join(own, F.col("sent_pos") == F.col("mention_id")), "table_no").drop("mention_id", "table_no")
-    _, links = P.link_claims(sentences, volume(tables, "table_pos"))
-    return links.groupBy("status", F.array_join("link_sources", "+").alias("sources")).agg(F.count(F.lit(1)).alias("n"))
+    links = P.counted_links(sentences, tables)
+    return links.select("status", F.array_join("link_sources", "+").alias("sources"), "n")
 
 
 def q_l12_histogram(spark: SparkSession, d: str) -> DataFrame:

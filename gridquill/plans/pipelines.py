@@ -12,6 +12,7 @@ from gridquill.operators import claims as L
 from gridquill.operators import context as X
 from gridquill.operators import corpus as C
 from gridquill.operators import evaluate as E
+from gridquill.session import settled
 from gridquill.sources import corpus as S
 
 #: What a model is asked about a sentence, and the answers it may give.
@@ -133,6 +134,15 @@ def link_claims(sentences: DataFrame, tables: DataFrame, model: type | None = No
     return records.drop("role_p", "type_p", "table_p"), links.drop("text", "row_options", "column_options", "table_p")
 
 
+def counted_links(sentences: DataFrame, tables: DataFrame, settings: LinkSettings | None = None) -> DataFrame:
+    """status, link_sources, n of the links that ``link_claims`` gives without a model; the pairs are counted, not formed."""
+    s = settings or LinkSettings()
+    sentences, tables = settled(sentences), settled(tables)
+    counts = settled(L.match_counts(L.numeric_matches(L.stated_numbers(sentences), L.numeric_cells(tables))))
+    candidates = L.candidate_sentences(sentences, L.dumps_of(sentences, tables, counts), s.only_referenced, s.most_candidates)
+    return L.link_counts(candidates, tables.withColumn("number", T.label_number(F.col("table_label"))), counts, s.link_threshold)
+
+
 def upserted(run: DataFrame, update: DataFrame, key: str = "document_id") -> DataFrame:
     """A run's rows with those of the updated documents replaced."""
     return run.join(update.select(key).distinct(), key, "left_anti").unionByName(update, allowMissingColumns=True)
