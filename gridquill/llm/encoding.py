@@ -11,7 +11,8 @@ left to invert, so double garbling and garbling written as numeric entities come
 A replacement character (U+FFFD) marks a passage whose original is lost.
 
 Words are judged one by one, and each distinct word once per batch, so garbled passages are
-found within clean documents. Null, empty and pure-ASCII texts are never affected. Repeated
+found within clean documents. Where nothing parts a garbled passage from clean characters, as
+in Chinese, the stretches that the wrong encoding holds or that are strict UTF-8 are judged alone. Null, empty and pure-ASCII texts are never affected. Repeated
 rows come out as often as they went in. One narrow pass over all rows and whole texts; the
 training sample (``SAMPLE`` documents, ``SAMPLE_CHARS`` characters of each) is the only bound.
 """
@@ -81,6 +82,9 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
 NAMES = ["clean", *CHAINS]
 ENTITY = re.compile(r"&#\d{2,6};")
 HIGH = re.compile(r"[^\x00-\x7f]+")
+#: Bytes of strict UTF-8 beyond ASCII; in wide encodings, where one character often is a sequence of two bytes by chance, only such of three.
+STRICT = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+STRICT_WIDE = re.compile(rb"(?:[\xe1-\xef][\x80-\xbf]{2}){2,}")
 
 
 class Codec:
@@ -216,6 +220,8 @@ def _suspect(word: str, n: int, words: Counter[str], blocks: frozenset[int]) ->
                 got = invert(word, name) or (None if name[6:] in Codec.WIDE else _utf8_runs(word, name))
                 if got and _sane(got, blocks):
                     return True
+                if name[6:] not in Codec.WIDE and any(e - b > 3 and (part := invert(word[b:e], name)) and _sane(part, blocks) for b, e in _strict_spans(word, name[6:])):
+                    return True
         elif (got := invert(word, name)) and words.get(got, 0) >= 3 * n:
             return True
     return False
@@ -241,6 +247,78 @@ def _utf8_runs(word: str, chain: str) -> str | None:
     return out if changed else None
 
 
+def _strict_spans(word: str, wrong: str) -> list[tuple[int, int]]:
+    """Stretches within a run beyond ASCII whose bytes in a narrow encoding are strict UTF-8, where the run goes on."""
+    back = Codec._table(wrong)[1]
+    data = bytes([back.get(c, 0) for c in word])
+    out = []
+    for m in STRICT.finditer(data):
+        before, after = word[m.start() - 1 : m.start()] if m.start() else "", word[m.end() : m.end() + 1]
+        if (before + after).isascii():
+            continue  # a whole run
+        held = any(c > "\x7f" and c in back for c in before + after)
+        if not held or sum(b >= 0xC0 for b in m[0]) > 1:
+            out.append(m.span())
+    return out
+
+
+def _wide_spans(word: str, wrong: str) -> list[tuple[int, int]]:
+    """Longest stretches of whole characters whose bytes in a wide encoding are strict UTF-8, two originals at least."""
+    out = []
+    for run in HIGH.finditer(word):
+        data, offsets = b"", [0]
+        for c in run[0]:
+            data += Codec.encode(c, wrong) or b"\0"
+            offsets.append(len(data))
+        at = {o: i for i, o in enumerate(offsets)}
+        i = 0
+        while i < len(run[0]):
+            m = STRICT_WIDE.match(data, offsets[i])
+            ends = [e for e in range(m.end(), m.start() + 5, -3) if e in at] if m else []
+            if ends:
+                out.append((run.start() + i, run.start() + at[ends[0]]))
+                i = at[ends[0]]
+            else:
+                i += 1
+    return out
+
+
+def _held_spans(word: str, wrong: str) -> list[tuple[int, int]]:
+    """Stretches of two characters beyond ASCII at least that a narrow encoding holds, where the word goes on with others."""
+    back, out, start = Codec._table(wrong)[1], [], 0
+    for k in range(len(word) + 1):
+        if k == len(word) or word[k] > "\x7f" and word[k] not in back:
+            if k - start < len(word) and sum(c > "\x7f" for c in word[start:k]) > 1:
+                out.append((start, k))
+            start = k + 1
+    return out
+
+
+NARROW = sorted({w for steps in CHAINS.values() for _, w in steps} - set(Codec.WIDE))
+
+
+def _explain_parts(word: str, model: Classifier) -> tuple[str, str] | None:
+    """As ``_explain_once`` of a word in which garbled and clean characters stand without a space between: each stretch is judged alone."""
+    wide = {x for w in Codec.WIDE[1:] for x in _wide_spans(word, w)}
+    spans = wide | {x for w in NARROW for x in (*_held_spans(word, w), *_strict_spans(word, w))}
+    spans.discard((0, len(word)))
+    first, taken = None, []
+    for start, end in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
+        if any(start < e and s < end for s, e, _ in taken):
+            continue
+        part = word[start:end]
+        got = _explain_once(part, model)
+        if got is None or (start, end) in wide and model.scores(part)[NAMES.index(got[0])] - model.scores(part)[0] < MARGIN:
+            continue
+        if got[0] == "lost":
+            return got[0], word
+        first = first or got[0]
+        taken.append((start, end, got[1]))
+    for start, end, right in sorted(taken, reverse=True):
+        word = word[:start] + right + word[end:]
+    return (first, word) if first else None
+
+
 def explain(word: str, model: Classifier) -> tuple[str, str] | None:
     """(chain, restored word) of a garbled word, ("lost", word) if it can't be restored, None if it is clean."""
     first, now = None, word
@@ -249,7 +327,7 @@ def explain(word: str, model: Classifier) -> tuple[str, str] | None:
         if now.isascii():
             return None
     for _ in range(4):
-        got = _explain_once(now, model)
+        got = _explain_once(now, model) or _explain_parts(now, model)
         if got is None:
             break
         first = first or got[0]
