@@ -223,10 +223,15 @@ def graph(links: list[dict], units: dict[str, set[str]], common: dict[str, str])
     out: dict[tuple[str, str], tuple[float, float, str]] = {}
     for quantity, names in units.items():
         edges: dict[str, list[tuple[int, str, float]]] = defaultdict(list)
+        between: dict[tuple[str, str], tuple[float | None, float, float]] = {}  # (u, v): scale of u in v's terms, middle values of u and v
         for e in links:
             if e["quantity"] == quantity and e["log_ratio"] is not None:
                 edges[e["a"]].append((e["shared"], e["b"], e["log_ratio"]))
                 edges[e["b"]].append((e["shared"], e["a"], -e["log_ratio"]))
+            if e["quantity"] == quantity and e.get("mid_x") is not None and e.get("mid_y") is not None:
+                scale = e["scale"] if e["scale"] and e["scale"] > 0 else None
+                between[e["a"], e["b"]] = scale, e["mid_x"], e["mid_y"]
+                between[e["b"], e["a"]] = scale and 1 / scale, e["mid_y"], e["mid_x"]
         target = common[quantity]
         for u in names:
             if (known := conversion(u, target)) is not None:
@@ -240,7 +245,21 @@ def graph(links: list[dict], units: dict[str, set[str]], common: dict[str, str])
             _, u, v, d = best
             estimate = math.log10(out[quantity, v][0]) + d  # log10 of the scale of u
             scale, offset = min(choices, key=lambda c: abs(math.log10(c[0]) - estimate))
-            if abs(math.log10(scale) - estimate) < 0.35:
+            near = abs(math.log10(scale) - estimate) < 0.35
+            if any(o for _, o in choices):  # degrees: a ratio of values means nothing, so scale and middle value decide
+                near = False
+                if (u, v) in between:
+                    ratio, own, other = between[u, v]
+                    base, shift = out[quantity, v][:2]
+                    level = base * other + shift  # the middle value in the common unit
+
+                    def miss(c: tuple[float, float]) -> float:
+                        wrong = abs(math.log10(c[0]) - math.log10(base * ratio)) if ratio else 0.0  # noqa: B023
+                        return wrong + abs(c[0] * own + c[1] - level) / max(abs(level), 100.0)  # noqa: B023
+
+                    scale, offset = min(choices, key=miss)
+                    near = miss((scale, offset)) < 0.2
+            if near:
                 out[quantity, u] = scale, offset, "estimated"
             waiting.discard(u)
     return out

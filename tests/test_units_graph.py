@@ -1,0 +1,12 @@
+from gridquill.operators import units as U
+
+
+def test_an_unreadable_celsius_spelling_is_not_taken_for_kelvin():
+    common = {"temperature": "degC"}
+    for a, b, scale, x, y in (("K", "grd", 1.0, 773.15, 500.0), ("degC", "grd", None, 500.0, 500.0)):
+        e = {"quantity": "temperature", "a": a, "b": b, "shared": 9, "log_ratio": U.math.log10(y / x), "scale": scale, "offset": 0.0, "mid_x": x, "mid_y": y}
+        got = U.graph([e], {"temperature": {"degC", "K", "grd"}}, common)
+        assert got["temperature", "grd"] == (1.0, 0.0, "estimated")
+    e = {"quantity": "temperature", "a": "degC", "b": "kel", "shared": 9, "log_ratio": 0.19, "scale": 1.0, "offset": 273.15, "mid_x": 500.0, "mid_y": 773.15}
+    scale, offset, _ = U.graph([e], {"temperature": {"degC", "K", "kel"}}, common)["temperature", "kel"]
+    assert abs(scale - 1) < 1e-9 and abs(offset + 273.15) < 1e-9
