@@ -186,3 +186,30 @@ def conversion(unit: str, common: str) -> tuple[float, float] | None:
     ratio = factor / b[0]
     nearest = float(f"{ratio:.9g}")
     return (1.0 if abs(nearest - 1) < 1e-4 else nearest), 0.0
+
+
+@lru_cache(maxsize=1_000)
+def known_conversions(common: str) -> tuple[tuple[float, float], ...]:
+    """Every (scale, offset) by which values of some unit come to ``common``.
+
+    Made by rule from the symbols: decimal multiples; for a rate or a duration also those of
+    minutes, hours and days; for energies those of one joule and of one mole; and the named units
+    of the same dimension.
+    """
+    target = tidy(common)
+    if target in DEGREES:
+        return tuple(sorted(c for d in DEGREES if (c := conversion(d, common)) is not None))
+    got = si(target)
+    if got is None:
+        return ((1.0, 0.0),)
+    scale, dims = got
+    named = {s / scale for s, d in SYMBOLS.values() if d == dims}
+    bases = {1.0}
+    if dims[2] in (1, -1):  # a time, or something per time
+        own = next((SYMBOLS[w][0] for w in re.findall(r"[A-Za-z]+", target) if w in SYMBOLS and SYMBOLS[w][1] == (0, 0, 1, 0, 0)), 1.0)
+        bases |= {(t / own) ** dims[2] for t in (1.0, 60.0, 3600.0, 86400.0)}
+    if dims == SYMBOLS["J"][1]:
+        bases |= {1 / scale, 1 / AVOGADRO / scale}
+    out = {float(f"{b * 10.0**k:.9g}") for b in bases for k in range(-9, 10)}
+    # decimal multiples of a joule stand for each other: keep one of each value
+    return tuple(sorted((x, 0.0) for x in out | {float(f"{x:.9g}") for x in named}))

@@ -3,15 +3,16 @@
 A cell's quantity comes from its column header or, in tables that run the other way, from the
 label of its row. Its unit is the one in the cell, else in the header, label or first row, else
 one that the caption or a mention states for the quantity. The values under one written unit
-are a source. Sources of a quantity are linked by the entities (sample names) they share: the
-robust difference of their values per entity gives each pair a scale (temperatures: scale and
-offset by quantile matching), which is snapped to the nearest known conversion and propagated
-through the graph of sources from the common unit. A unit whose notation is understood is known
-from the start and the estimate only confirms it; one that isn't takes the snapped estimate.
+are a source, and the sources are linked by the entities (sample names) they share. From the
+common unit outwards each source is compared, entity by entity, with those solved before: the
+median difference in order of magnitude, or for temperatures the quartiles, give its scale and
+offset with their error. The estimate is snapped to the nearest known conversion and propagates.
+What the notation says is evidence in the snapping: it decides between conversions that the
+estimate can't tell apart and gives way where the values plainly contradict it.
 
 Null tables, unlisted quantities, words and missing marks are no values; a value without a
 stated unit keeps no conversion. Zeros, bounds and values with errors are values. Repeated
-deliveries count once. Nothing is collected but one row per pair of sources.
+deliveries count once. Nothing is collected but the list of targets.
 """
 
 from __future__ import annotations
@@ -19,14 +20,13 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridquill.functions.units import STARTS, conversion, quantity_of, tidy
+from gridquill.functions.units import STARTS, conversion, known_conversions, quantity_of, tidy
 from gridquill.session import settled
 
 SPACE = r"[\s\u00a0\u2000-\u200b\u202f]*"
@@ -42,8 +42,13 @@ STATED = (
     re.compile(r"\bthe (?P<name>[\w ]{1,40}?) (?:is|are) (?:given|expressed|reported|quoted|stated|listed) in (?P<unit>.+)", re.I),
     re.compile(r"(?:^|[.;:] )(?P<name>[\w ]{1,40}?) in (?P<unit>.+)"),
 )
-#: Sources with fewer values or shared entities give no estimate.
-LEAST_VALUES, LEAST_SHARED = 5, 3
+#: Sources that share fewer entities are compared as a population.
+LEAST_SHARED = 3
+#: Nats by which a conversion gains that the notation is read as; least error of an estimate, in orders of magnitude or widths.
+READING, LEAST_ERROR = 8.0, 0.12
+#: Up to so many sources (a row of some 60 bytes each) are broadcast.
+BROADCAST_ROWS = 50_000
+SNAPPED = "quantity string, unit string, scale double, offset double, how string, shared bigint, log_ratio double, estimated_scale double, estimated_offset double, margin double"
 
 
 def statements(text: str | None, common: dict[str, str]) -> list[tuple[str, str]]:
@@ -194,99 +199,170 @@ def _judge(common: dict[str, str]):
     return judge
 
 
-def pairs(values: DataFrame) -> DataFrame:
-    """quantity, a, b, shared, log_ratio, scale, offset: how the values under unit b compare with those under a.
+def levels(values: DataFrame) -> DataFrame:
+    """quantity, unit, entity, v, l: each source's mean value and mean order of magnitude per entity, null values and units apart."""
+    magnitude = F.when(F.col("value") > 0, F.log10("value"))
+    own = values.where("unit is not null and value is not null").groupBy("quantity", "unit", "entity")
+    return own.agg(F.avg("value").alias("v"), F.avg(magnitude).alias("l"))
 
-    Per source and entity one mean goes in, so a hot entity weighs no more than any other; of the
-    entities' differences the median is taken.
+
+def _q(c: Column | str, p: float) -> Column:
+    return F.percentile_approx(c, p, 200)
+
+
+def compared(sources: DataFrame, reference: DataFrame) -> DataFrame:
+    """quantity, unit, shared, ratio, spread, scale, offset, middle, width: robust scale and offset of each source against a reference.
+
+    ``reference`` has quantity, entity, m (mean value) and lm (mean order of magnitude) in the
+    common unit. The entities that both sides record are linked by an equi-join with one row per
+    entity on the reference's side: sources are compared with what is solved already, never all
+    with all. ``ratio`` is the median of the entities' differences in order of magnitude, ``spread``
+    their deviation; ``scale`` and ``offset`` match the quartiles.
     """
-    own = values.where("unit is not null and entity is not null and value is not null")
-    size = own.groupBy("quantity", "unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_VALUES)
-    level = F.when(F.col("value") > 0, F.log10("value"))
-    entities = own.join(F.broadcast(size.limit(5000)), ["quantity", "unit"]).groupBy("quantity", "entity", "unit").agg(F.avg("value").alias("v"), F.avg(level).alias("l"))
-    a, b = entities.select("quantity", "entity", F.col("unit").alias("a"), F.col("v").alias("x"), F.col("l").alias("lx")), entities.select("quantity", "entity", F.col("unit").alias("b"), F.col("v").alias("y"), F.col("l").alias("ly"))
-    both = a.join(b, ["quantity", "entity"]).where("a < b")  # the units under which one entity is recorded
-    ratio = F.col("ly") - F.col("lx")
-    q = lambda c, p: F.percentile_approx(c, p, 100)
-    scale = (q("y", 0.75) - q("y", 0.25)) / F.nullif(q("x", 0.75) - q("x", 0.25), F.lit(0.0))
-    out = both.groupBy("quantity", "a", "b").agg(F.count(F.lit(1)).alias("shared"), q(ratio, 0.5).alias("log_ratio"), scale.alias("scale"), q("x", 0.5).alias("mid_x"), q("y", 0.5).alias("mid_y"))
-    return out.where(F.col("shared") >= LEAST_SHARED).withColumn("offset", F.col("mid_y") - F.col("scale") * F.col("mid_x"))
-
-
-def graph(links: list[dict], units: dict[str, set[str]], common: dict[str, str]) -> dict[tuple[str, str], tuple[float, float, str]]:
-    """(scale, offset, how) of every source, from the common unit outwards.
-
-    Understood units are nodes with known conversions. A unit that isn't understood is reached
-    over the edge to the known source with which it shares most entities; its estimate is
-    snapped to the nearest conversion among the quantity's known ones.
+    both = sources.where("entity is not null").join(reference, ["quantity", "entity"])
+    d = F.col("lm") - F.col("l")
+    out = both.groupBy("quantity", "unit").agg(
+        F.count(F.lit(1)).alias("shared"), F.count(d).alias("positive"), _q(d, 0.5).alias("ratio"), F.stddev(d).alias("spread"),
+        _q("v", 0.25).alias("v1"), _q("v", 0.5).alias("v2"), _q("v", 0.75).alias("v3"), _q("m", 0.25).alias("m1"), _q("m", 0.5).alias("m2"), _q("m", 0.75).alias("m3"),
+    )
+    return _matched(out).where(F.col("shared") >= LEAST_SHARED)
+
+
+def populations(sources: DataFrame, reference: DataFrame) -> DataFrame:
+    """As ``compared``, of sources that share no entities: their whole population against the reference's."""
+    side = lambda df, v, l, tag: df.groupBy("quantity", *(["unit"] if tag == "v" else [])).agg(F.count(F.lit(1)).alias(f"{tag}n"), F.count(l).alias(f"{tag}p"), _q(l, 0.5).alias(f"{tag}l"), F.stddev(l).alias(f"{tag}s"), *[_q(v, k / 4).alias(f"{tag}{k}") for k in (1, 2, 3)])  # noqa: E731, E741
+    both = side(sources, "v", "l", "v").join(side(reference, "m", "lm", "m"), "quantity")  # the reference's side has one row per quantity
+    spread = F.sqrt(F.pow(F.coalesce("vs", "ms"), 2) + F.pow("ms", 2))
+    out = both.select("quantity", "unit", F.col("vn").alias("shared"), F.col("vp").alias("positive"), (F.col("ml") - F.col("vl")).alias("ratio"), spread.alias("spread"), *[f"{t}{k}" for t in "vm" for k in (1, 2, 3)])
+    return _matched(out)
+
+
+def _matched(out: DataFrame) -> DataFrame:
+    scale = F.try_divide(F.col("m3") - F.col("m1"), F.nullif(F.col("v3") - F.col("v1"), F.lit(0.0)))
+    out = out.withColumn("scale", F.when(scale > 0, scale))
+    return out.select("quantity", "unit", "shared", "positive", "ratio", "spread", "scale", (F.col("m2") - F.col("scale") * F.col("v2")).alias("offset"), F.col("v2").alias("middle"), F.col("m2").alias("wanted"), (F.col("m3") - F.col("m1")).alias("width"))
+
+
+def snapped(estimate: dict, common: str, readable: bool = True) -> tuple[float, float, float] | None:
+    """(scale, offset, margin in nats) of the known conversion nearest to an estimate; None where nothing is estimated.
+
+    Every known conversion into ``common`` is scored by how far the estimate is from it in
+    standard errors. What the notation is read as gains ``READING`` nats, so it settles what the
+    estimate can't tell apart (bar and atm), and loses to values that plainly contradict it. With
+    ``readable`` off notations are opaque and the estimate decides alone.
     """
-    out: dict[tuple[str, str], tuple[float, float, str]] = {}
-    for quantity, names in units.items():
-        edges: dict[str, list[tuple[int, str, float]]] = defaultdict(list)
-        between: dict[tuple[str, str], tuple[float | None, float, float]] = {}  # (u, v): scale of u in v's terms, middle values of u and v
-        for e in links:
-            if e["quantity"] == quantity and e["log_ratio"] is not None:
-                edges[e["a"]].append((e["shared"], e["b"], e["log_ratio"]))
-                edges[e["b"]].append((e["shared"], e["a"], -e["log_ratio"]))
-            if e["quantity"] == quantity and e.get("mid_x") is not None and e.get("mid_y") is not None:
-                scale = e["scale"] if e["scale"] and e["scale"] > 0 else None
-                between[e["a"], e["b"]] = scale, e["mid_x"], e["mid_y"]
-                between[e["b"], e["a"]] = scale and 1 / scale, e["mid_y"], e["mid_x"]
-        target = common[quantity]
-        for u in names:
-            if (known := conversion(u, target)) is not None:
-                out[quantity, u] = (*known, "known")
-        choices = sorted({out[quantity, u][:2] for u in names if (quantity, u) in out} | {(1.0, 0.0)})
-        waiting = {u for u in names if (quantity, u) not in out}
-        while waiting:
-            best = max(((n, u, v, d) for u in waiting for n, v, d in edges[u] if (quantity, v) in out), default=None)
-            if best is None:
-                break
-            _, u, v, d = best
-            estimate = math.log10(out[quantity, v][0]) + d  # log10 of the scale of u
-            scale, offset = min(choices, key=lambda c: abs(math.log10(c[0]) - estimate))
-            near = abs(math.log10(scale) - estimate) < 0.35
-            if any(o for _, o in choices):  # degrees: a ratio of values means nothing, so scale and middle value decide
-                near = False
-                if (u, v) in between:
-                    ratio, own, other = between[u, v]
-                    base, shift = out[quantity, v][:2]
-                    level = base * other + shift  # the middle value in the common unit
-
-                    def miss(c: tuple[float, float]) -> float:
-                        wrong = abs(math.log10(c[0]) - math.log10(base * ratio)) if ratio else 0.0  # noqa: B023
-                        return wrong + abs(c[0] * own + c[1] - level) / max(abs(level), 100.0)  # noqa: B023
-
-                    scale, offset = min(choices, key=miss)
-                    near = miss((scale, offset)) < 0.2
-            if near:
-                out[quantity, u] = scale, offset, "estimated"
-            waiting.discard(u)
-    return out
+    n, menu = estimate["positive"] or 0, known_conversions(common)
+    reading = conversion(estimate["unit"], common) if readable else None
+    choices = {*menu, reading} if reading else set(menu)
+    shifted = any(o for _, o in choices)
+    if shifted and (not estimate["shared"] or estimate["wanted"] is None) or not shifted and (not n or estimate["ratio"] is None):
+        return None
+    root = math.sqrt(max(estimate["shared"] if shifted else n, 1))
+    scored = []
+    for scale, offset in choices:
+        if shifted:  # degrees: a ratio of values means nothing, so quartiles give scale and offset
+            width = max(estimate["width"] or 0.0, 1.0)
+            miss = ((scale * estimate["middle"] + offset - estimate["wanted"]) / (width * max(1.3 / root, LEAST_ERROR))) ** 2
+            if estimate["scale"]:
+                miss += (math.log10(scale / estimate["scale"]) / max(1.0 / root, LEAST_ERROR)) ** 2
+        else:
+            error = max(1.25 * (estimate["spread"] or 1.0) / root, LEAST_ERROR)
+            miss = ((math.log10(scale) - estimate["ratio"]) / error) ** 2
+        scored.append((-miss / 2 + READING * ((scale, offset) == reading), scale, offset))
+    scored.sort(reverse=True)
+    return scored[0][1], scored[0][2], scored[0][0] - scored[1][0] if len(scored) > 1 else math.inf
+
+
+def _snap(estimates: DataFrame, common: dict[str, str], how: str, readable: bool) -> DataFrame:
+    """The estimates with the known conversion they are snapped to; those that fit none are left out."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for e in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+                got = snapped(e, common[e["quantity"]], readable)
+                if got is not None:
+                    out.append((e["quantity"], e["unit"], got[0], got[1], how, e["shared"], e["ratio"], e["scale"], e["offset"], got[2]))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in SNAPPED.split(", ")])
+
+    return estimates.mapInPandas(run, SNAPPED)
+
+
+def graph(values: DataFrame, common: dict[str, str], readable: bool = True, estimated: bool = True) -> DataFrame:
+    """quantity, unit, scale, offset, how, ...: the conversion of every source, from the common unit outwards.
+
+    The common unit's own source is the start. In each round the sources that share entities with
+    solved ones are estimated against these, snapped, and solved for the next round; what then
+    still stands alone is compared as a population. ``how`` is ``common``, ``estimated``,
+    ``population``, or ``read`` where a source has no value to compare (zeros only) but a readable
+    notation. Without the common unit among the sources its most frequent readable one starts.
+    Sources are rows of a relation throughout: their number has no bound here.
+    """
+    spark = values.sparkSession
+    own = settled(levels(values))
+    named = F.broadcast(spark.createDataFrame([(q, tidy(c)) for q, c in common.items()], "quantity string, unit string"))  # the fixed list of targets
+    read = settled(_readings(own.groupBy("quantity", "unit").agg(F.count(F.lit(1)).alias("n")), common))
+    n_sources = read.count()
+    small = F.broadcast if n_sources <= BROADCAST_ROWS else lambda df: df  # beyond that the planner joins as it sees fit
+    readings = read.where("scale is not null") if readable else read.limit(0)
+    blank = {x.split()[0]: F.lit(None).cast(x.split()[1]) for x in SNAPPED.split(", ")[5:]}
+    own_unit = read.join(named, ["quantity", "unit"], "left_semi").select("quantity", "unit", F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"), F.lit("common").alias("how"))
+    seeds = readings.join(own_unit, "quantity", "left_anti").groupBy("quantity").agg(F.max_by(F.struct("unit", "scale", "offset"), F.struct("n", "unit")).alias("s"))
+    solved = settled(own_unit.unionByName(seeds.select("quantity", "s.*", F.lit("read").alias("how"))).withColumns(blank))
+    known, found = solved.count(), 1
+    while estimated and known < n_sources and found:
+        more = settled(_snap(compared(_apart(own, solved, small), _reference(own, solved, small)), common, "estimated", readable))
+        found = more.count()
+        known, solved = known + found, solved.unionByName(more)
+    if estimated and known < n_sources:
+        solved = solved.unionByName(settled(_snap(populations(_apart(own, solved, small), _reference(own, solved, small)), common, "population", readable)))
+        rest = _apart(readings, solved, small).select("quantity", "unit", "scale", "offset", F.lit("read").alias("how"))
+        solved = solved.unionByName(settled(rest.withColumns(blank)))
+    return small(solved)
+
+
+def _apart(sources: DataFrame, solved: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return sources.join(small(solved.select("quantity", "unit")), ["quantity", "unit"], "left_anti")
+
+
+def _reference(own: DataFrame, solved: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """quantity, entity, m, lm: an entity's value in the common unit, over its solved sources."""
+    value = F.col("v") * F.col("scale") + F.col("offset")
+    magnitude = F.when(F.col("offset") == 0, F.col("l") + F.log10("scale"))
+    return own.join(small(solved.select("quantity", "unit", "scale", "offset")), ["quantity", "unit"]).groupBy("quantity", "entity").agg(F.avg(value).alias("m"), F.avg(magnitude).alias("lm"))
+
+
+def _readings(sources: DataFrame, common: dict[str, str]) -> DataFrame:
+    """The sources with the conversion that their notation is read as."""
 
-def converted(cells: DataFrame, tables: DataFrame, mentions: DataFrame, targets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [conversion(u, common[q]) or (None, None) for q, u in zip(batch["quantity"], batch["unit"], strict=True)]
+            yield batch.assign(scale=[g[0] for g in got], offset=[g[1] for g in got])
+
+    return sources.mapInPandas(run, "quantity string, unit string, n bigint, scale double, offset double")
+
+
+def converted(cells: DataFrame, tables: DataFrame, mentions: DataFrame, targets: DataFrame, readable: bool = True, estimated: bool = True) -> DataFrame:
     """cell_id, table_no, quantity, value, unit, origin, common_unit, scale, offset, how, common_value.
 
     One row per value of a listed quantity; without a unit or conversion the last columns are null.
+    ``readable`` and ``estimated`` switch the reading of notations and the estimation off, to
+    measure what each does.
     """
-    spark, common = cells.sparkSession, _targets(targets)
+    common = _targets(targets)
     values = settled(resolved(cells, tables, mentions, targets))
-    units: dict[str, set[str]] = defaultdict(set)
-    for r in values.where("unit is not null").groupBy("quantity", "unit").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(5000).collect():  # sources
-        units[r["quantity"]].add(r["unit"])
-    links = [r.asDict() for r in pairs(values).collect()]  # pairs of sources
-    found = graph(links, units, common)
-    listed = [(q, u, s, o, h, common[q]) for (q, u), (s, o, h) in sorted(found.items())]
-    known = spark.createDataFrame(listed, "quantity string, unit string, scale double, offset double, how string, common_unit string")
-    out = values.join(F.broadcast(known), ["quantity", "unit"], "left")  # at most 5000 sources
+    found = graph(values, common, readable, estimated).select("quantity", "unit", "scale", "offset", "how")
+    out = values.join(found, ["quantity", "unit"], "left")
+    to = F.lit(None).cast("string") if not common else F.create_map(*[F.lit(x) for pair in sorted(common.items()) for x in pair])[F.col("quantity")]
+    out = out.withColumn("common_unit", F.when(F.col("scale").isNotNull(), to))
     once = out.select("cell_id", "table_no", "quantity", "value", "unit", "origin", "common_unit", "scale", "offset", "how").dropDuplicates(["cell_id"])
     return once.withColumn("common_value", F.col("value") * F.col("scale") + F.col("offset"))
 
 
 def sources(cells: DataFrame, tables: DataFrame, mentions: DataFrame, targets: DataFrame) -> DataFrame:
-    """quantity, a, b, shared, log_ratio, scale, offset: the graph of sources."""
-    return pairs(settled(resolved(cells, tables, mentions, targets))).drop("mid_x", "mid_y")
+    """quantity, unit, scale, offset, how, shared, log_ratio, estimated_scale, estimated_offset, margin: the solved graph of sources."""
+    return graph(settled(resolved(cells, tables, mentions, targets)), _targets(targets))
 
 
 def found(cells: DataFrame, tables: DataFrame, mentions: DataFrame, targets: DataFrame) -> DataFrame:

@@ -54,10 +54,59 @@ def test_where_units_stand(spark):
     assert found == {2, 3, 8, 10, 12}
 
 
-def test_unknown_units_take_the_estimated_scale():
-    links = [{"quantity": "pore_diameter", "a": "Angs.", "b": "nm", "shared": 9, "log_ratio": -1.02}, {"quantity": "pore_diameter", "a": "A", "b": "nm", "shared": 9, "log_ratio": -1.0}]
-    got = U.graph(links, {"pore_diameter": {"nm", "A", "Angs.", "lost"}}, {"pore_diameter": "nm"})
-    assert got["pore_diameter", "Angs."] == (0.1, 0.0, "estimated") and ("pore_diameter", "lost") not in got
+def estimate(**known):
+    return {"unit": "?", "shared": 40, "positive": 40, "ratio": None, "spread": 0.4, "scale": None, "offset": None, "middle": None, "wanted": None, "width": None} | known
+
+
+def test_estimates_are_snapped_to_known_conversions():
+    assert U.snapped(estimate(ratio=-1.04), "nm")[:2] == (0.1, 0.0) and U.snapped(estimate(ratio=2.9), "nm")[:2] == (1000.0, 0.0)
+    assert U.snapped(estimate(ratio=1.75, spread=0.3), "umol g^-1 h^-1")[0] == 60.0 and U.snapped(estimate(ratio=0.8), "kPa")[0] == pytest.approx(6.894757, rel=1e-6)
+    assert U.snapped(estimate(), "nm") is None and U.snapped(estimate(positive=0, ratio=1.0), "nm") is None
+
+
+def test_the_notation_decides_what_the_estimate_leaves_open_but_not_against_the_values():
+    assert U.snapped(estimate(unit="bar", ratio=2.0), "kPa")[0] == 100.0 and U.snapped(estimate(unit="atm", ratio=2.0), "kPa")[0] == 101.325
+    assert U.snapped(estimate(unit="um", ratio=-3.0, shared=400, positive=400), "nm")[0] == 1e-3  # written so, but the values are picometres
+
+
+def test_temperatures_need_scale_and_offset():
+    same = {"wanted": 500.0, "width": 300.0}
+    assert U.snapped(estimate(middle=773.0, scale=1.02, **same), "degC")[:2] == (1.0, -273.15)
+    assert U.snapped(estimate(middle=501.0, scale=0.97, **same), "degC")[:2] == (1.0, 0.0)
+    assert U.snapped(estimate(middle=930.0, scale=0.56, **same), "degC")[0] == pytest.approx(5 / 9)
+
+
+def recorded(spark):
+    """Forty samples whose pore diameters and temperatures are recorded in known and in made-up units."""
+    pores = [("nm", 1.0), ("zorks", 1e-3), ("A", 10.0), ("Angs.", 10.0)]
+    heat = [("degC", 1.0, 0.0), ("grd K", 1.0, 273.15), ("hot F", 1.8, 32.0)]
+    rows = [("pore_diameter", u, f"s{i}", (2.0 + i % 17) * f * (1.1 if i % 5 else 0.8)) for u, f in pores for i in range(40)]
+    rows += [("temperature", u, f"s{i}", (100.0 + 11 * i) * f + o) for u, f, o in heat for i in range(40)]
+    rows += [("pore_diameter", "zorks", None, None), ("pore_diameter", "um", "s1", 0.0), ("pore_diameter", "furlong-ish", "s1", 0.0), ("pore_diameter", None, "s1", 3.0), ("pore_diameter", "alone", "other", 4.0)]
+    return spark.createDataFrame(rows, "quantity string, unit string, entity string, value double")
+
+
+def test_made_up_units_are_solved_by_the_entities_they_share(spark):
+    common = {"pore_diameter": "nm", "temperature": "degC"}
+    got = {(r.quantity, r.unit): (r.scale, r.offset, r.how) for r in U.graph(recorded(spark), common).collect()}
+    assert got["pore_diameter", "zorks"] == (1000.0, 0.0, "estimated") and got["pore_diameter", "Angs."] == (0.1, 0.0, "estimated")
+    assert got["temperature", "grd K"] == (1.0, -273.15, "estimated") and got["temperature", "hot F"][0] == pytest.approx(5 / 9)
+    assert got["pore_diameter", "nm"][2] == "common" and got["pore_diameter", "alone"][2] == "population"
+    assert got["pore_diameter", "um"] == (1000.0, 0.0, "read") and ("pore_diameter", "furlong-ish") not in got
+
+
+def test_without_the_estimate_only_the_common_unit_is_known(spark):
+    common = {"pore_diameter": "nm", "temperature": "degC"}
+    off = {(r.quantity, r.unit) for r in U.graph(recorded(spark), common, estimated=False).collect()}
+    assert off == {("pore_diameter", "nm"), ("temperature", "degC")}
+    opaque = {(r.quantity, r.unit): r.scale for r in U.graph(recorded(spark), common, readable=False).collect()}
+    assert opaque["pore_diameter", "A"] == 0.1 and opaque["pore_diameter", "Angs."] == 0.1
+
+
+def test_without_the_common_unit_a_readable_one_starts(spark):
+    few = recorded(spark).where("unit in ('A', 'zorks')")
+    got = {r.unit: (r.scale, r.how) for r in U.graph(few, {"pore_diameter": "nm"}).collect()}
+    assert got == {"A": (0.1, "read"), "zorks": (1000.0, "estimated")}
 
 
 def test_empty(spark):
