@@ -90,3 +90,25 @@ def test_headers_of_a_hot_document_stay_few(spark):
     pages = pages.withColumn("text", F.regexp_replace("text", "number (\\d)", "number $1x"))
     got = N.running_headers(pages).first()
     assert "the head of all" in got.headers and len(got.headers) <= 80
+
+
+def test_what_endings_say_is_learnt_from_the_values_at_limits():
+    def fit(p, times=1):
+        counts = [("caption", "e", p, "ends 2^-9", 120), ("caption", "e", p, "unfinished", 150), ("caption", "e", 0.0, "ends 2^-9", 4), ("caption", "e", 0.0, "ends 2^-1", 900), ("caption", "e", 0.0, "closed", 700), ("caption", "e", 0.0, "mark", 6)]
+        odds, lost = T.endings_fit([(f, e, q, k, n * times) for f, e, q, k, n in counts])
+        return odds["caption", "ends 2^-9"] + np.log(lost["caption", "e"] / (1 - lost["caption", "e"])), lost["caption", "e"]
+
+    anchored, rate = fit(0.97)
+    assert anchored > 0 and rate < 0.03  # the four texts off the limit are taken for cut, too
+    assert fit(0.97, 100)[0] > 0  # at any size of the data
+    assert fit(0.0)[1] > 3 * rate  # without the censored fit, cuts at the limit pass for losses in transfer
+
+
+def test_the_censored_fit_changes_what_is_found(spark):
+    t, m, p = relations(spark)
+    long = "Product distribution over the spherical granules under a halogen source and the films "
+    more = spark.createDataFrame([(1000 + i, f"d{i % 5}", "f", (f"Run {i} " + long * 3)[: 100 if i % 2 else 30 + i], 0) for i in range(120)], t.schema)
+    on, off = (T.judged(t.unionAll(more), m, p, fit_limits=x).where("item_id >= 1000 and field = 'caption'") for x in (True, False))
+    at_limit = {r.item_id: r.censored for r in on.collect() if r.item_id % 2}
+    assert min(at_limit.values()) > 0.9 and {r.censored for r in off.collect()} == {0.0}
+    assert on.where("cut and n_chars = 100").count() >= 55 and off.where("cut_odds > 2").count() < on.where("cut_odds > 2").count()
