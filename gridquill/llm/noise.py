@@ -5,19 +5,22 @@ and page numbers removed, lines reflowed into paragraphs.
 
 The lexicon is learnt from all texts: words with at least ``SHARE`` of all tokens (so at most
 1 / SHARE of them) are frequent. A word is linked to the frequent words with the same glyph
-key, a key that is blind to the confusions of recognition (c/e, 1/l/i, rn/m, cl/d, ...); it is
-a misreading if one of them is ``TIMES`` times as frequent. Among several the one is taken
-whose skip-gram vector fits the words around. Vectors are learnt from a bounded sample
-(``VECTOR_TEXTS`` texts), counts and headers from every row. A document's running headers are
-the lines that open or close at least two of its pages, digits apart.
-
-Null and empty texts have no defects and stay as they are. Repeated deliveries count once.
-Documents without pages are searched for headers of the usual journal forms only.
+key, a key that is blind to the confusions of recognition (c/e, 1/l/i, rn/m, cl/d, ...). Skip-gram
+vectors, learnt from all captions and mentions, then judge each occurrence: how near the linked
+word lies to the words around, among all frequent words, is weighed against how much more
+frequent it is. Only an occurrence for which both together speak is a misreading; of several
+linked words the likeliest is taken.
+
+A document's running headers are the lines that open or close pages which stand close together,
+digits apart. The forms that headers of many documents share (kinds of words, numbers and signs)
+are learnt as templates, for texts of documents without pages. Null and empty texts have no
+defects and stay as they are. Repeated deliveries count once.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
@@ -31,20 +34,24 @@ from gridquill.session import settled
 
 #: Least share and number of a frequent word; how much more frequent a word must be than its misreading.
 SHARE, LEAST, TIMES = 2e-6, 4, 25
-#: Texts from which vectors are learnt, and their size.
-VECTOR_TEXTS, VECTOR_SIZE = 10_000, 24
+#: Times at which context alone decides whether a linked word is meant.
+PRIOR = 100.0
+#: Times below which context isn't asked, and how far (as log odds) context can outweigh them.
+LEAST_TIMES, CONTEXT = 5, 5.0
+#: Size of the vectors, words before and behind, and frequent words among which a word's fit is ranked.
+VECTOR_SIZE, AROUND, RANKED = 24, 4, 512
+#: Pages within which a running header stands again; share of the documents that a form of headers must hold in.
+NEAR_PAGES, FORM_SHARE, FORM_LEAST = 5, 2e-3, 3
+#: Parts over which a document's texts are spread where they meet its headers.
+SALTS = 16
 #: Signs at which a layout divides words; ligature signs and their letters.
 DIVIDERS = "-¬­‐‑"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 SPREAD = str.maketrans(LIGATURES)
 PAGE_NUMBER = re.compile(r"(?:(?:page|p\.|pg\.?|seite|s\.)\s*)?[–—|\[({-]*\s*(?:S-?)?\d{1,4}\s*[–—|\])}-]*|page\s+\d{1,4}\s+of\s+\d{1,4}|\d{1,4}\s*/\s*\d{1,4}", re.I)
-JOURNAL = re.compile(r"\b[^\W\d_]{3,} et al\.? ?/ ?[^\n/]{4,40}? \d{1,4} \(\d{4}\) \d{1,5}(?:\s+\d{1,4}(?=\s|$))?", re.I)
-JOURNAL_LINE = re.compile(r"^[ \t]*[^\W\d_]+\.?(?: [^\W\d_]+\.?){1,5}, \d{4}, \d{1,4}, \d{1,5}(?:\s+\d{1,4})?[ \t]*$", re.M)
-#: A line of two authors at least and nothing else; a line in capitals that is no caption.
-AUTHORS_LINE = re.compile(r"^[ \t]*[^\W\d_a-z][^\W\d_]{3,}(?:, [^\W\d_a-z][^\W\d_]{3,})* (?:and|AND) [^\W\d_a-z][^\W\d_]{3,}(?:\s+\d{1,4})?[ \t]*$", re.M)
-CAPITALS_LINE = re.compile(r"^(?!\s*(?:TABLE|TAB)\b)[ \t]*(?=[^\n]{24})[^\Wa-z][^\na-z]*[^\W\d_a-z]{4}[^\na-z]*$", re.M)
-#: Cheap signs without which a form can't occur.
-ET_AL, DATED, AT_GAP = re.compile(r"et al\.? ?/", re.I), re.compile(r", \d{4}, \d"), re.compile(rf"[{DIVIDERS}]\s")
+AT_GAP = re.compile(rf"[{DIVIDERS}]\s")
+PIECE = re.compile(r"\d+|[^\W\d_]+\.?|[^\w\s]")
+LABELLED = re.compile(r"\s*(?:table|tab|fig|figure|scheme)\b", re.I)
 DIVIDED = re.compile(rf"([^\W_]+)([{DIVIDERS}])([ \t]*\n\s*|[ \t]+)([^\W_]+)")
 WORD = re.compile(r"[^\W_](?:[^\W_]|[|!$](?=[^\W_]))*(?:[|!$](?=[^\W_])[^\W_]+)*|[|!$](?=[^\W\d_]{2})[^\W_|!$]+")
 
@@ -52,7 +59,9 @@ WORD = re.compile(r"[^\W_](?:[^\W_]|[|!$](?=[^\W_]))*(?:[|!$](?=[^\W_])[^\W_]+)*
 class Lexicon:
     """Frequent words with their counts, glyph keys and vectors."""
 
-    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray] | None = None):
+    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray] | None = None, floor: float = 0.2, prior: float = PRIOR):
+        self.prior = prior
+        self.floor = floor  # stands for the count of a word that is not frequent
         self.counts: dict[str, int] = {}
         for word, n in counts.items():
             self.counts[word] = self.counts.get(word, 0) + n
@@ -61,6 +70,8 @@ class Lexicon:
                     if part:
                         self.counts[part] = self.counts.get(part, 0) + n
         self.vectors = vectors or {}
+        ranked = sorted(self.vectors, key=lambda w: (hash_of(w), w))[:RANKED]  # any of the frequent words, the same everywhere
+        self.ranked = np.array([self.vectors[w] for w in ranked]) if ranked else None
         self.by_key: dict[str, list[str]] = {}
         for word in self.counts:
             if "-" not in word and sum(c.isalpha() for c in word) >= 2:
@@ -82,33 +93,85 @@ class Lexicon:
         at = bisect_right(self.sorted, word)
         return at < len(self.sorted) and self.sorted[at].startswith(word)
 
-    def neighbours(self, word: str) -> list[str]:
-        """Frequent words of which this one, lower case, may be a misreading."""
+    def linked(self, word: str) -> list[tuple[str, float]]:
+        """The frequent words of which this one, lower case, may be a misreading, and how many times they are as frequent."""
         got = self.seen.get(word)
         if got is None:
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            n = self.counts.get(word, 0)
+            n = max(self.counts.get(word, 0), self.floor)
             letters = sum(c.isalpha() for c in word)
             near = sorted(self._near(word)) if letters > 1 and len(word) > 2 else ()
-            got = [c for c in near if c != word and c.isalpha() and self.counts[c] >= TIMES * max(n, 1 / 5) and distance(c, word) <= max(2, 0.45 * len(word))]
-            most = max((self.counts[c] for c in got), default=0)
-            got = [c for c in got if self.counts[c] * TIMES > most]  # not one misreading for another
-            self.seen[word] = got
+            found = [(c, self.counts[c] / n) for c in near if c != word and c.isalpha() and self.counts[c] >= LEAST_TIMES * n and distance(c, word) <= max(2, 0.45 * len(word))]
+            most = max((t for _, t in found), default=0)
+            got = self.seen[word] = [(c, t) for c, t in found if t * TIMES > most]  # not one misreading for another
         return got
 
+    def neighbours(self, word: str) -> list[str]:
+        """Those of the linked words that are frequent enough to need no context."""
+        return [c for c, t in self.linked(word) if t >= TIMES]
+
     def corrected(self, word: str, around: list[str]) -> str | None:
         """The word read rightly, None if it is no misreading."""
-        near = self.neighbours(word.lower())
+        near = self.linked(word.lower())
         if not near:
             return None
-        best = near[0] if len(near) == 1 else max(near, key=lambda c: self._fit(c, around))
+        context = self._context(around)
+        odds, best = max((np.log(t / self.prior) + self._fit(c, context), c) for c, t in near)
+        if odds < 0:
+            return None
         return best.upper() if word.isupper() and len(word) > 1 else best.capitalize() if word[0].isupper() else best
 
-    def _fit(self, word: str, around: list[str]) -> float:
-        own = self.vectors.get(word)
+    def _context(self, around: list[str]) -> np.ndarray | None:
         others = [v for w in around if (v := self.vectors.get(w.lower())) is not None]
-        return (float(own @ np.mean(others, axis=0)) if own is not None and others else 0.0) + 0.05 * float(np.log(self.counts[word]))
+        return np.mean(others, axis=0) if others else None
+
+    def _fit(self, word: str, context: np.ndarray | None) -> float:
+        """Log odds of the word's rank among frequent words by nearness to the context; 0 where either has no vector."""
+        own = self.vectors.get(word)
+        if own is None or context is None or self.ranked is None:
+            return 0.0
+        below = float(((self.ranked @ context) < own @ context).mean())
+        share = min(max(below, 0.5 / len(self.ranked)), 1 - 0.5 / len(self.ranked))
+        return float(np.clip(np.log(share / (1 - share)), -CONTEXT, CONTEXT))
+
+
+def hash_of(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
+def form(line: str) -> str:
+    """The kinds of a line's pieces, runs of one kind once: capitalised words, words in capitals, numbers; short small words and signs as they are.
+
+    A line all in capitals is of one form, whatever words, numbers and hyphens it has.
+    """
+    if line.isupper() and "/" not in line and "," not in line:
+        return "AA AA" if sum(len(m[0].rstrip(".")) > 3 for m in PIECE.finditer(line) if m[0][0].isalpha()) > 1 else "AA"
+    out: list[str] = []
+    for m in PIECE.finditer(line):
+        t = m[0]
+        dot = "." if t[-1] == "." and len(t) > 1 else ""
+        w = t.rstrip(".") if dot else t
+        kind = "#" if w.isdigit() else t if not w[0].isalpha() else f"Aa{dot}" if w[0].isupper() and (len(w) == 1 or not w.isupper()) else f"AA{dot}" if w.isupper() else t if len(w) <= 3 else f"a{dot}"
+        if not out or out[-1] != kind or kind == "#":
+            out.append(kind)
+    return " ".join(out)
+
+
+def bare_line(line: str) -> str:
+    """A line without a page number at either end."""
+    return re.sub(r"^\s*\d{1,4}\s+|\s+\d{1,4}\s*$", "", line).strip()
+
+
+def _form_pattern(kinds: str) -> re.Pattern[str]:
+    """A form as a pattern, to be found where no line ends."""
+    small, word, capitals = r"[^\W\d_]+", r"[^\W\d_a-z][^\W\d_]*", r"[^\W\d_a-z]{2,}"
+    parts = []
+    for k in kinds.split(" "):
+        base = {"Aa": word, "AA": capitals, "a": small}.get(k.rstrip(".") or k)
+        dot = r"\." if k.endswith(".") and len(k) > 1 else ""
+        parts.append(r"\d+" if k == "#" else rf"{base}{dot}(?:\s{base}{dot})*" if base else re.escape(k))
+    return re.compile(r"(?<![\w])" + r"\s?".join(parts) + r"(?:\s+\d{1,5}){0,2}(?=\s|$)")
 
 
 def _flat(text: str) -> str:
@@ -124,8 +187,11 @@ def _header_pattern(header: str) -> re.Pattern[str]:
 class Repair:
     """The defects of a text and the text without them."""
 
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, lexicon: Lexicon, forms: Sequence[str] = ()):
         self.lexicon = lexicon
+        self.forms = frozenset(forms)
+        # forms with three numbers are too special to be anything else, so they need no line of their own
+        self.within = [_form_pattern(f) for f in forms if f.split(" ").count("#") >= 3]
         self.flat: dict[str, str] = {}
         self.sound: dict[str, bool] = {}
 
@@ -137,23 +203,26 @@ class Repair:
                 if len(self.flat) > 50_000:
                     self.flat.clear()
                 key = self.flat[h] = _flat(h)
-            if len(key) < 8 or key not in flat:
+            if key not in flat:
                 continue
-            found = True
-            cleaned = _header_pattern(h).sub(" ", text)
-            if cleaned == text:  # misread characters within the header: its line goes
-                cleaned = "\n".join(x for x in text.split("\n") if key not in _flat(x))
-            text, flat = cleaned, _flat(cleaned)
-        for sign, form in ((ET_AL, JOURNAL), (DATED, JOURNAL_LINE)):
-            if sign.search(text):
-                cleaned = form.sub(" ", text)
-                if cleaned != text:
-                    found, text = True, cleaned
-        if "\n" in text:
-            for form in (AUTHORS_LINE, CAPITALS_LINE):
-                cleaned = form.sub(" ", text)
-                if cleaned != text and cleaned.strip():
-                    found, text = True, cleaned
+            if len(key) < 8:  # a short one stands on its own line only
+                kept = [x for x in text.split("\n") if _flat(bare_line(x)) != key]
+                cleaned = "\n".join(kept)
+                if cleaned == text or not cleaned.strip():
+                    continue
+            else:
+                cleaned = _header_pattern(h).sub(" ", text)
+                if cleaned == text:  # misread characters within the header: its line goes
+                    cleaned = "\n".join(x for x in text.split("\n") if key not in _flat(x))
+            found, text, flat = True, cleaned, _flat(cleaned)
+        if "\n" in text and self.forms:
+            kept = [x for x in text.split("\n") if LABELLED.match(x) or form(bare_line(x)) not in self.forms]
+            if any(x.strip() for x in kept) and len(kept) <= text.count("\n"):
+                found, text = True, "\n".join(kept)
+        for pattern in self.within:
+            cleaned = pattern.sub(" ", text)
+            if cleaned != text and cleaned.strip():
+                found, text = True, cleaned
         return text, found
 
     def page_number(self, text: str) -> tuple[str, bool]:
@@ -206,8 +275,8 @@ class Repair:
         out, at = [], 0
         for k, (w, start, end) in enumerate(words):
             unfinished = k + 1 == len(words) and end == len(plain.rstrip()) and self.lexicon.begins(w.lower())
-            if not unfinished and self.lexicon.neighbours(w.lower()):
-                around = [x for x, _, _ in words[max(0, k - 4) : k + 5] if x is not w]
+            if not unfinished and self.lexicon.linked(w.lower()):
+                around = [x for x, _, _ in words[max(0, k - AROUND) : k + AROUND + 1] if x is not w]
                 right = self.lexicon.corrected(w, around)
                 if right and right != w:
                     out.append(plain[at:start] + right)
@@ -216,7 +285,7 @@ class Repair:
 
     def _misread(self, token: str) -> bool:
         plain = token.translate(SPREAD)
-        return plain != token or any(self.lexicon.neighbours(m[0].lower()) for m in WORD.finditer(plain))
+        return plain != token or any(self.lexicon.linked(m[0].lower()) for m in WORD.finditer(plain))
 
     def reflow(self, text: str) -> str:
         """Paragraphs parted by a blank line; a blank line within a sentence parts nothing."""
@@ -258,20 +327,16 @@ def word_counts(*columns: DataFrame) -> DataFrame:
     for c in columns:
         part = c.select(F.explode(words(F.col(c.columns[0]))).alias("word"))
         every = part if every is None else every.unionByName(part)
-    return every.where("length(word) between 2 and 40").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return every.where("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vectors(sample: DataFrame) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of unit length, from a bounded relation with a column ``words``."""
+def vectors(texts_: DataFrame, n_texts: int, least: float) -> dict[str, np.ndarray]:
+    """Skip-gram vectors of unit length of the words that occur ``least`` times, from every row of a column ``words``."""
     from pyspark.ml.feature import Word2Vec
 
-    model = Word2Vec(vectorSize=VECTOR_SIZE, minCount=5, windowSize=3, maxIter=1, numPartitions=2, seed=7, inputCol="words", outputCol="v")
-    try:
-        rows = model.fit(sample).getVectors().collect()  # words seen five times in a bounded sample
-    except Exception as e:  # no word often enough
-        if "vocabulary size should be > 0" not in str(e):
-            raise
-        return {}
+    parts = max(2, n_texts // 50_000)
+    model = Word2Vec(vectorSize=VECTOR_SIZE, minCount=int(max(5, least)), windowSize=3, maxIter=1, numPartitions=parts, seed=7, inputCol="words", outputCol="v")
+    rows = model.fit(texts_).getVectors().collect()  # at most 1 / SHARE words
     out = {}
     for r in rows:
         v = r["vector"].toArray().astype(np.float32)
@@ -279,42 +344,64 @@ def vectors(sample: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def learn(items: DataFrame, pages: DataFrame, n_items: int) -> Lexicon:
+def learn(items: DataFrame, pages: DataFrame, with_vectors: bool = True) -> Lexicon:
     """The lexicon of all captions, mentions and pages."""
-    counts = word_counts(items.select("text"), pages.select("text"))
-    counted = settled(counts.where(f"n >= {LEAST}"))
+    counted = settled(word_counts(items.select("text"), pages.select("text")).where(f"n >= {LEAST}"))
     whole = counted.agg(F.sum("n")).first()[0] or 0
-    frequent = {r["word"]: r["n"] for r in counted.where(F.col("n") >= SHARE * whole).collect()}  # at most 1 / SHARE words
-    share = min(1.0, VECTOR_TEXTS / max(n_items, 1))
-    taken = F.shiftrightunsigned(F.xxhash64("field", "item_id", F.lit("vectors")), 33) < int(share * 2**31)
-    sample = items.where(taken).limit(2 * VECTOR_TEXTS).select(words("text").alias("words")).coalesce(2)
-    return Lexicon(frequent, vectors(sample))
-
-
-def running_headers(pages: DataFrame) -> DataFrame:
-    """document_id, headers array<string>: lines that open or close pages of a document, two at least and a twentieth of them."""
+    least = max(LEAST, SHARE * whole)
+    frequent = {r["word"]: r["n"] for r in counted.where(F.col("n") >= least).collect()}  # at most 1 / SHARE words
+    own: dict[str, np.ndarray] = {}
+    if with_vectors:
+        said = items.select(words("text").alias("words"))
+        n_texts = items.count()
+        # a word of the captions and mentions must be that frequent there
+        most = said.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most >= max(5, least):
+            own = vectors(said, n_texts, least)
+    return Lexicon(frequent, own, max(0.2, SHARE * whole / 8))
+
+
+def header_lines(pages: DataFrame) -> DataFrame:
+    """document_id, header (small letters, digits masked), line (as on one page): lines that open or close pages close to each other."""
     text = F.trim(F.col("text"), F.lit("\n "))
     edge = F.split(F.concat_ws("\n", F.substring_index(text, "\n", 3), F.substring_index(text, "\n", -4)), "\n")
-    line = F.regexp_replace(F.trim("line"), r"^\d{1,4}\s+|\s+\d{1,4}$", "")
-    masked = F.regexp_replace(F.lower(line), r"\d+", "#")
-    lines = (
+    line = F.trim(F.regexp_replace(F.trim("line"), r"^\d{1,4}\s+|\s+\d{1,4}$", ""))
+    seen = (
         pages.where("text is not null")
-        .select("document_id", "page", F.explode(F.array_append(edge, F.lit("<page>"))).alias("line"))
-        .where(r"line = '<page>' or (line not rlike '^\\s*#' and length(line) between 8 and 160 and line rlike '\\p{L}{3}' and line rlike '^[^\\p{Ll}]' and line not rlike '[.;?!]$')")
-        .select("document_id", masked.alias("header"), "page")
-        .distinct()
-        .groupBy("document_id", "header")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n >= 2")
-    )
-    # the lines that repeat within a document; its number of pages stands among them
-    pages_of = F.max(F.when(F.col("header") == "<page>", F.col("n"))).over(Window.partitionBy("document_id"))
-    return (
-        lines.withColumn("pages", pages_of)
-        .where("header <> '<page>' and n >= 0.05 * pages")  # so at most 140 of a document
-        .groupBy("document_id")
-        .agg(F.collect_list("header").alias("headers"))
+        .select("document_id", "page", F.explode(edge).alias("line"))
+        .where(r"line not rlike '^\\s*#' and line rlike '\\p{L}{3}' and line rlike '^[^\\p{Ll}]' and line not rlike '[.;?!]$'")
+        .select("document_id", "page", line.alias("line"))
+        .groupBy("document_id", F.regexp_replace(F.lower("line"), r"\d+", "#").alias("header"))
+        .agg(F.array_sort(F.collect_set("page")).alias("on"), F.min("line").alias("line"))  # the page numbers of one line of one document
     )
+    near = F.exists(F.sequence(F.lit(1), F.size("on") - 1), lambda i: F.get("on", i) - F.get("on", i - 1) <= NEAR_PAGES)
+    return seen.where(F.size("on") >= 2).where(near).select("document_id", "header", "line")
+
+
+def running_headers(pages: DataFrame) -> DataFrame:
+    """document_id, headers array<string>: the headers of one document, digits masked."""
+    return header_lines(pages).groupBy("document_id").agg(F.collect_list("header").alias("headers"))
+
+
+def forms_of(lines: DataFrame) -> list[str]:
+    """The forms of headers that stand in a share of ``FORM_SHARE`` of the documents with headers, so at most some 1 / FORM_SHARE."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"document_id": batch["document_id"], "form": [form(x) for x in batch["line"]]})
+
+    every = settled(lines.select("document_id", "line").mapInPandas(run, "document_id string, form string").distinct())
+    held = every.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    least = max(FORM_LEAST, FORM_SHARE * every.select("document_id").distinct().count())
+    prose = F.col("form").rlike(r"(^| )a\.?( |$)")  # long small words: a sentence or title that stands on several pages
+    return sorted(r["form"] for r in held.where((F.col("n") >= least) & F.col("form").contains(" ") & ~prose).collect())
+
+
+def with_headers(items: DataFrame, lines: DataFrame) -> DataFrame:
+    """``items`` with the headers of their document, whose texts are spread over ``SALTS`` parts."""
+    headers = lines.groupBy("document_id").agg(F.collect_list("header").alias("headers")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(headers, ["document_id", "salt"], "left").drop("salt")
 
 
 def repaired(tables: DataFrame, mentions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -323,22 +410,22 @@ def repaired(tables: DataFrame, mentions: DataFrame, pages: DataFrame) -> DataFr
     return checked.dropDuplicates(["field", "item_id"])
 
 
-def _checked(tables: DataFrame, mentions: DataFrame, pages: DataFrame, reflow: bool) -> DataFrame:
+def _checked(tables: DataFrame, mentions: DataFrame, pages: DataFrame, reflow: bool, with_vectors: bool = True) -> DataFrame:
     """The texts as delivered with their defects; without ``reflow`` the text itself is left out."""
     items = texts(tables, mentions)
-    lexicon = learn(items, pages, tables.count() + mentions.count())
-    shared = items.sparkSession.sparkContext.broadcast(lexicon)  # at most 1 / SHARE words
+    lines = settled(header_lines(pages))
+    shared = items.sparkSession.sparkContext.broadcast((learn(items, pages, with_vectors), forms_of(lines)))  # at most 1 / SHARE words, 1 / FORM_SHARE forms
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = Repair(shared.value)
+        tool = Repair(*shared.value)
         for batch in batches:
             got = [tool.all(t, () if h is None else h, reflow) for t, h in zip(batch["text"], batch["headers"], strict=True)]
             yield pd.DataFrame({"field": batch["field"], "item_id": batch["item_id"], "text": [g[0] for g in got], "defects": [g[1] for g in got]})
 
-    joined = items.join(running_headers(pages), "document_id", "left").select("field", "item_id", "text", "headers")
+    joined = with_headers(items, lines).select("field", "item_id", "text", "headers")
     return joined.mapInPandas(run, "field string, item_id bigint, text string, defects array<string>")
 
 
-def found(tables: DataFrame, mentions: DataFrame, pages: DataFrame) -> DataFrame:
-    """field, item_id, defect: one row for each text and defect it has."""
-    return _checked(tables, mentions, pages, reflow=False).select("field", "item_id", F.explode("defects").alias("defect")).distinct()
+def found(tables: DataFrame, mentions: DataFrame, pages: DataFrame, with_vectors: bool = True) -> DataFrame:
+    """field, item_id, defect: one row for each text and defect it has; ``with_vectors`` off shows what the vectors do."""
+    return _checked(tables, mentions, pages, reflow=False, with_vectors=with_vectors).select("field", "item_id", F.explode("defects").alias("defect")).distinct()

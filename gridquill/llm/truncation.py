@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridquill.functions.units import DEGREES, si, tidy
-from gridquill.llm.noise import Lexicon, Repair, running_headers, texts
+from gridquill.llm.noise import Lexicon, Repair, forms_of, header_lines, texts, with_headers
 from gridquill.session import settled
 
 #: Weight of the prior for the rate of texts cut in transfer: so many cut among so many texts.
@@ -252,10 +252,12 @@ def classified(items: DataFrame, pages: DataFrame) -> DataFrame:
     words = whole.where("not contains(w, ' ')")
     total = words.agg(F.sum("n")).first()[0] or 0
     table = {r["w"]: (r["n"], r["e"]) for r in words.where(F.col("n") >= max(2, SHARE * total)).select("w", "n", "e").collect()}  # at most 1 / SHARE words
-    shared = spark.sparkContext.broadcast(table)
+    lines = settled(header_lines(pages))
+    shared = spark.sparkContext.broadcast((table, forms_of(lines)))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        endings, clean = Endings(shared.value), Repair(Lexicon({}))
+        table, forms = shared.value
+        endings, clean = Endings(table), Repair(Lexicon({}), forms)
         for batch in batches:
             rows = []
             for field, item, engine, text, headers in zip(*(batch[c] for c in ("field", "item_id", "engine", "text", "headers")), strict=True):
@@ -266,7 +268,7 @@ def classified(items: DataFrame, pages: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["field", "item_id", "engine", "n_chars", "kind", "runs"])
             yield out.assign(text_hash=batch["text_hash"].to_numpy())
 
-    joined = items.join(running_headers(pages), "document_id", "left").select("field", "item_id", "engine", "text", "headers", F.xxhash64("text").alias("text_hash"))
+    joined = with_headers(items, lines).select("field", "item_id", "engine", "text", "headers", F.xxhash64("text").alias("text_hash"))
     first = settled(joined.mapInPandas(judge, "field string, item_id bigint, engine string, n_chars int, kind string, runs array<string>, text_hash bigint"))
     # how often texts end or pause after the same last words, the text in question apart; the longest trusted run counts
     seen, ends = F.col("n") - 1, F.col("p") + F.col("e") - 1

@@ -11,7 +11,7 @@ COUNTS = {w: 500 for b in BODY for w in b.lower().replace(".", "").split()} | {"
 
 @pytest.fixture(scope="module")
 def repair():
-    return N.Repair(N.Lexicon(COUNTS))
+    return N.Repair(N.Lexicon(COUNTS), ["Aa et al. / Aa. # ( # )"])
 
 
 @pytest.mark.parametrize(
@@ -37,9 +37,38 @@ def test_repair(repair, text, clean, defects):
 def test_context_decides_between_candidates():
     up, side = np.array([1.0, 0.0], np.float32), np.array([0.0, 1.0], np.float32)
     lexicon = N.Lexicon({"beat": 400, "heat": 400, "removed": 900, "drum": 900}, {"beat": side, "heat": up, "removed": up, "drum": side})
+    assert {w for w, _ in lexicon.linked("6eat")} == {"beat", "heat"}
     assert lexicon.corrected("6eat", ["removed"]) == "heat" and lexicon.corrected("6eat", ["drum"]) == "beat"
 
 
+def test_context_decides_whether_a_rare_word_is_a_misreading():
+    rng = np.random.default_rng(3)
+    unit = lambda v: (v / np.linalg.norm(v)).astype(np.float32)
+    near, far = rng.normal(size=8), rng.normal(size=8)
+    vectors = {f"w{i}": unit(rng.normal(size=8)) for i in range(300)} | {"see": unit(near), "we": unit(near + 0.1), "can": unit(near - 0.1), "dried": unit(-near), "stirred": unit(-near + 0.1)}
+    counts = dict.fromkeys(vectors, 900) | {"see": 40, "sec": 1}
+    with_, without = N.Lexicon(counts, vectors), N.Lexicon(counts)
+    assert with_.corrected("sec", ["we", "can"]) == "see" and with_.corrected("sec", ["dried", "stirred"]) is None
+    assert without.corrected("sec", ["we", "can"]) is None  # 40 times as frequent is too little without context
+
+
+def test_forms_of_headers_are_learnt_from_pages(spark):
+    names = ["Abel", "Born", "Curie", "Dirac", "Euler"]
+    pages = [(f"d{d}", p, f"{n} et al. / J. Imag. Chem. {d} (201{d}) {700 + p}\n{BODY[p % 4]}\nmore {p}{d}") for d, n in enumerate(names) for p in range(1, 4)]
+    lines = N.header_lines(spark.createDataFrame(pages, "document_id string, page int, text string"))
+    forms = N.forms_of(lines)
+    assert forms == ["Aa et al. / Aa. # ( # )"]
+    tool = N.Repair(N.Lexicon(COUNTS), forms)
+    assert tool.all("A selectivity Gauss et al. / Adv. Test 9 (1999) 12 of the samples", [])[1] == []
+    assert tool.all("A selectivity\nGauss et al. / Adv. Test. 9 (1999) 12\nof the samples", []) == ("A selectivity of the samples", ["header"])
+
+
+def test_pages_far_apart_share_no_running_header(spark):
+    rows = [("d", p, f"{'Chapter head' if p in (3, 5) else 'Odd line'} \nbody {p} of the text\nend") for p in (1, 3, 5, 60)]
+    got = {r.header for r in N.header_lines(spark.createDataFrame(rows, "document_id string, page int, text string")).collect()}
+    assert got == {"chapter head"}
+
+
 def relations(spark):
     tables = [(i, f"d{i % 5}", "e", "Note: " * (i % 13) + BODY[i % 4], 1) for i in range(60)] + [(100, "d1", "e", "A select-\nivity of tbe samples", 1), (100, "d1", "e", "A select-\nivity of tbe samples", 2), (101, None, None, None, 1), (102, "d1", "e", "", 1), (103, "d1", "e", "y" * 30_000, 1)]
     mentions = [(i, f"d{i % 5}", "e", BODY[(i + 1) % 4], 1) for i in range(60)] + [(200, "d1", "e", "A selectivity\nMy Running Head 7\nof the samples.", 1), (201, "nowhere", "e", "12\nA selectivity of the samples.", 1), (202, "d1", None, None, 1)]
