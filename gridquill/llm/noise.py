@@ -38,8 +38,8 @@ SHARE, LEAST, TIMES = 2e-6, 4, 25
 PRIOR = 100.0
 #: Times below which context isn't asked, and how far (as log odds) context can outweigh them.
 LEAST_TIMES, CONTEXT = 5, 5.0
-#: Size of the vectors, words before and behind, and frequent words among which a word's fit is ranked.
-VECTOR_SIZE, AROUND, RANKED = 24, 4, 512
+#: Size of the vectors, words before and behind in learning and in judging, and frequent words among which a word's fit is ranked.
+VECTOR_SIZE, WINDOW, AROUND, RANKED = 24, 2, 4, 512
 #: Pages within which a running header stands again; share of the documents that a form of headers must hold in.
 NEAR_PAGES, FORM_SHARE, FORM_LEAST = 5, 2e-3, 3
 #: Parts over which a document's texts are spread where they meet its headers.
@@ -51,6 +51,8 @@ SPREAD = str.maketrans(LIGATURES)
 PAGE_NUMBER = re.compile(r"(?:(?:page|p\.|pg\.?|seite|s\.)\s*)?[–—|\[({-]*\s*(?:S-?)?\d{1,4}\s*[–—|\])}-]*|page\s+\d{1,4}\s+of\s+\d{1,4}|\d{1,4}\s*/\s*\d{1,4}", re.I)
 AT_GAP = re.compile(rf"[{DIVIDERS}]\s")
 PIECE = re.compile(r"\d+|[^\W\d_]+\.?|[^\w\s]")
+#: A long small word, as no form of headers has.
+SMALL = re.compile(r"(?<![^\W_])[a-z]{4}")
 LABELLED = re.compile(r"\s*(?:table|tab|fig|figure|scheme)\b", re.I)
 DIVIDED = re.compile(rf"([^\W_]+)([{DIVIDERS}])([ \t]*\n\s*|[ \t]+)([^\W_]+)")
 WORD = re.compile(r"[^\W_](?:[^\W_]|[|!$](?=[^\W_]))*(?:[|!$](?=[^\W_])[^\W_]+)*|[|!$](?=[^\W\d_]{2})[^\W_|!$]+")
@@ -191,7 +193,11 @@ class Repair:
         self.lexicon = lexicon
         self.forms = frozenset(forms)
         # forms with three numbers are too special to be anything else, so they need no line of their own
-        self.within = [_form_pattern(f) for f in forms if f.split(" ").count("#") >= 3]
+        special = [f.split(" ") for f in forms if f.split(" ").count("#") >= 3]
+        self.within = [_form_pattern(" ".join(f)) for f in special]
+        # their numbers and the signs between, which are quickly sought
+        numbers = {" ".join(f[f.index("#") : len(f) - f[::-1].index("#")]) for f in special}
+        self.sign = re.compile("|".join(r"\s?".join(r"\d+" if k == "#" else re.escape(k) for k in n.split(" ")) for n in sorted(numbers))) if numbers else None
         self.flat: dict[str, str] = {}
         self.sound: dict[str, bool] = {}
 
@@ -216,10 +222,10 @@ class Repair:
                     cleaned = "\n".join(x for x in text.split("\n") if key not in _flat(x))
             found, text, flat = True, cleaned, _flat(cleaned)
         if "\n" in text and self.forms:
-            kept = [x for x in text.split("\n") if LABELLED.match(x) or form(bare_line(x)) not in self.forms]
+            kept = [x for x in text.split("\n") if SMALL.search(x) or LABELLED.match(x) or form(bare_line(x)) not in self.forms]
             if any(x.strip() for x in kept) and len(kept) <= text.count("\n"):
                 found, text = True, "\n".join(kept)
-        for pattern in self.within:
+        for pattern in self.within if self.sign and self.sign.search(text) else ():
             cleaned = pattern.sub(" ", text)
             if cleaned != text and cleaned.strip():
                 found, text = True, cleaned
@@ -321,21 +327,18 @@ def words(text: Column | str) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}|!$-]+")
 
 
-def word_counts(*columns: DataFrame) -> DataFrame:
-    """word, n over one-column relations of texts."""
-    every = None
-    for c in columns:
-        part = c.select(F.explode(words(F.col(c.columns[0]))).alias("word"))
-        every = part if every is None else every.unionByName(part)
-    return every.where("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def word_counts(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """word, n, own over two one-column relations of texts; ``own`` are its occurrences in the first."""
+    parts = [c.select(F.explode(words(F.col(c.columns[0]))).alias("word"), F.lit(own).alias("own")) for c, own in ((items, 1), (pages, 0))]
+    return parts[0].unionByName(parts[1]).where("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own"))
 
 
-def vectors(texts_: DataFrame, n_texts: int, least: float) -> dict[str, np.ndarray]:
+def vectors(texts_: DataFrame, n_words: int, least: float) -> dict[str, np.ndarray]:
     """Skip-gram vectors of unit length of the words that occur ``least`` times, from every row of a column ``words``."""
     from pyspark.ml.feature import Word2Vec
 
-    parts = max(2, n_texts // 50_000)
-    model = Word2Vec(vectorSize=VECTOR_SIZE, minCount=int(max(5, least)), windowSize=3, maxIter=1, numPartitions=parts, seed=7, inputCol="words", outputCol="v")
+    parts = max(2, n_words // 1_500_000)
+    model = Word2Vec(vectorSize=VECTOR_SIZE, minCount=int(max(5, least)), windowSize=WINDOW, maxIter=1, numPartitions=parts, seed=7, inputCol="words", outputCol="v")
     rows = model.fit(texts_).getVectors().collect()  # at most 1 / SHARE words
     out = {}
     for r in rows:
@@ -347,17 +350,13 @@ def vectors(texts_: DataFrame, n_texts: int, least: float) -> dict[str, np.ndarr
 def learn(items: DataFrame, pages: DataFrame, with_vectors: bool = True) -> Lexicon:
     """The lexicon of all captions, mentions and pages."""
     counted = settled(word_counts(items.select("text"), pages.select("text")).where(f"n >= {LEAST}"))
-    whole = counted.agg(F.sum("n")).first()[0] or 0
+    whole, n_own, most = counted.agg(F.sum("n"), F.sum("own"), F.max("own")).first()
+    whole = whole or 0
     least = max(LEAST, SHARE * whole)
     frequent = {r["word"]: r["n"] for r in counted.where(F.col("n") >= least).collect()}  # at most 1 / SHARE words
     own: dict[str, np.ndarray] = {}
-    if with_vectors:
-        said = items.select(words("text").alias("words"))
-        n_texts = items.count()
-        # a word of the captions and mentions must be that frequent there
-        most = said.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        if most >= max(5, least):
-            own = vectors(said, n_texts, least)
+    if with_vectors and (most or 0) >= max(5, least):
+        own = vectors(items.select(words("text").alias("words")), n_own, least)
     return Lexicon(frequent, own, max(0.2, SHARE * whole / 8))
 
 
