@@ -1,20 +1,24 @@
 """Freely typed values mapped to the entries of a reference list.
 
-Two passes over each distinct value. First an automaton over the list's names and aliases
-(short forms, forms with "&" or "/" for "and", forms without spaces) finds embedded mentions at
-word boundaries; of overlapping ones the longest wins, of several the longest, then the
-leftmost. Values without a mention go to token-set similarity: every content word of a name
-must have its own word in the value, equal up to abbreviation or typing and recognition
-errors, and words left over count against it; values whose words run together or apart are
-compared as a whole. Below ``LEAST`` a value is unmatched.
+Two passes over each value, equal values once per task. First an automaton over the list's names
+and aliases (short forms, forms with "&" or "/" for "and", forms without spaces) finds embedded
+mentions at word boundaries; of overlapping ones the longest wins, and all that are left are
+reported. The longest gives the entry, the leftmost of equals; a word that only accompanies names
+("results") gives way to any other. Values without a mention go to token-set similarity: every
+content word of a name must have its own word in the value, equal up to abbreviation or typing and
+recognition errors, and words left over count against it; values whose words run together or apart
+are compared as a whole. An index of letter pairs finds the entries that can reach ``LEAST`` at
+all, so the work doesn't grow with the list. Below ``LEAST`` a value is unmatched.
 
 Null and blank values give no row, unmatched ones id 0. Ties go to the smaller id. An empty
-list leaves every value unmatched. Repeated deliveries of a row count once.
+list leaves every value unmatched. Repeated deliveries of a row count once. A list of more than
+``MOST_ENTRIES`` is refused, as every worker holds it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +30,8 @@ from gridquill.session import delivered_once
 
 #: Least similarity of a value to the entry it is given.
 LEAST = 0.78
+#: Entries that a list may have: a few hundred bytes each on every worker.
+MOST_ENTRIES = 1_000_000
 #: Characters that recognition confuses, folded to one of them, and pairs (of folded characters) read as one letter.
 CONFUSED = str.maketrans({"1": "l", "|": "l", "!": "l", "i": "l", "j": "l", "0": "o", "c": "e", "6": "b", "h": "b", "9": "g", "q": "g", "5": "s", "$": "s", "v": "y", "8": "b", "3": "e"})
 READ_AS = (("rn", "m"), ("rl", "n"), ("el", "d"), ("ll", "u"), ("yy", "w"))
@@ -72,6 +78,12 @@ def glyph_keys(word: str) -> frozenset[str]:
     return frozenset(out)
 
 
+def pairs_of(word: str) -> set[str]:
+    """The pairs of neighbouring letters of a word, with its ends; folded ones apart from typed ones."""
+    typed, folded = f"^{word}$", f"^{fold(word)}$"
+    return {typed[k : k + 2] for k in range(len(typed) - 1)} | {"~" + folded[k : k + 2] for k in range(len(folded) - 1)}
+
+
 def squeeze(text: str) -> str:
     return re.sub(r"[^\w|!$]+", "", text)
 
@@ -137,27 +149,61 @@ class Canon:
                 self.automaton.add_word(short, (len(short), i))
         if self.entries:
             self.automaton.make_automaton()
-
-    def mention(self, text: str) -> int | None:
-        """The entry of the longest mention that stands at word boundaries.
-
-        A mention that is only a word which accompanies others ("results") gives way to any other.
+        self.by_id = {i: (n, s) for i, n, s in self.entries}
+        self.holders: dict[str, set[int]] = {}  # a word of a name, or a name as a whole -> its entries
+        self.grams: dict[str, list[str]] = {}  # a pair of letters, as typed or folded -> the words that have it
+        self.starts: dict[str, list[str]] = {}  # two letters -> the words that begin with them
+        for i, name, _ in self.entries:
+            for w in {*self.words[i], squeeze(name)}:
+                if w not in self.holders:
+                    for g in pairs_of(w):
+                        self.grams.setdefault(g, []).append(w)
+                    for start in {w[:2], fold(w)[:2]}:
+                        self.starts.setdefault(start, []).append(w)
+                self.holders.setdefault(w, set()).add(i)
+        for got, want in SHORT_WORDS.items():
+            if want in self.holders:
+                self.starts.setdefault(got, []).append(want)
+        self.near: dict[str, frozenset[int]] = {}
+
+    def candidates(self, word: str) -> frozenset[int]:
+        """The entries with a word that this one can stand for.
+
+        An entry reaches ``LEAST`` only if one of its words is as like as that: at most 0.22 of its
+        letters are edited, each edit touching three pairs of neighbours at most, or it is abbreviated.
+        So a word with fewer than a third of its pairs in common is left out without loss.
         """
-        best = None
+        got = self.near.get(word)
+        if got is None:
+            if len(self.near) > 200_000:
+                self.near.clear()
+            shared: Counter[str] = Counter()
+            for g in pairs_of(word):
+                shared.update(self.grams.get(g, ()))
+            alike_ = {w for w, n in shared.items() if n >= 1 + 0.34 * max(len(w), len(word)) - 2}
+            begun = {w for start in {word[:2], fold(word)[:2], word} for w in self.starts.get(start, ())}
+            got = self.near[word] = frozenset(i for w in alike_ | begun for i in self.holders[w])
+        return got
+
+    def mentions(self, text: str) -> list[int]:
+        """The entries of the longest mentions that stand at word boundaries and don't overlap, the best first."""
+        found = []
         for end, (n, i) in self.automaton.iter(text) if self.entries else ():
             start = end + 1 - n
-            if (start and text[start - 1].isalnum()) or (end + 1 < len(text) and text[end + 1].isalnum()):
-                continue
-            rank = text[start : end + 1] not in COMPANY, n, -start
-            if best is None or rank > best[0]:
-                best = rank, i
-        return best[1] if best else None
+            if not (start and text[start - 1].isalnum()) and not (end + 1 < len(text) and text[end + 1].isalnum()):
+                found.append((-n, start, end, i))
+        out: list[tuple[bool, int, int, int, int]] = []
+        for n, start, end, i in sorted(found):
+            if all(end < s or start > e for _, _, s, e, _ in out):
+                out.append((text[start : end + 1] in COMPANY, n, start, end, i))
+        return [x[-1] for x in sorted(out)]
 
     def similar(self, text: str) -> tuple[float, int]:
         """(similarity, id) of the entry nearest by its words, or as a whole."""
         words = [(m[1], bool(m[2])) for m in re.finditer(r"([\w|!$’']+)(\.?)", text) if m[1] not in EMPTY]
         whole, best = squeeze(re.sub(r"\b(?:and|&)\b", "and", text)), (0.0, 0)
-        for i, name, short in self.entries:
+        for i in sorted(self.candidates(whole).union(*(self.candidates(w) for w, _ in words))):
+            name, short = self.by_id[i]
             score = max(self._by_words(words, self.words[i], short), alike(whole, squeeze(name)) - 0.02)
             if score > best[0]:
                 best = score, i
@@ -188,10 +234,13 @@ class Canon:
         s = alike(got, want)
         return s if len(want) > 3 or s == 1.0 else 0.0
 
-    def match(self, value: str) -> tuple[int, float, str]:
-        """(id or 0, similarity, pass that decided)."""
+    def match(self, value: str) -> tuple[int, float, str, list[int]]:
+        """(id or 0, similarity, pass that decided, entries mentioned)."""
         text = bare(value)
-        named = self.mention(text)
+        every = self.mentions(text)
+        return *self._decided(text, every[0] if every else None), every
+
+    def _decided(self, text: str, named: int | None) -> tuple[int, float, str]:
         if named is not None and text in self.automaton:
             return named, 1.0, "mention"
         score, i = self.similar(text)
@@ -201,8 +250,11 @@ class Canon:
 
 
 def assign(values: DataFrame, key: str, value: str, entries: DataFrame) -> DataFrame:
-    """``key``, ``value``, entry_id, score, pass for each row with a non-blank value."""
-    listed = [(r[0], r[1], r[2]) for r in entries.select("section_id", "section_name", "short_form").where("section_id is not null").distinct().collect()]  # the reference list: fixed, small
+    """``key``, ``value``, entry_id, score, pass, mentions array<int> for each row with a non-blank value."""
+    wanted = entries.select("section_id", "section_name", "short_form").where("section_id is not null").distinct()
+    listed = [(r[0], r[1], r[2]) for r in wanted.limit(MOST_ENTRIES + 1).collect()]
+    if len(listed) > MOST_ENTRIES:
+        raise ValueError(f"a list of more than {MOST_ENTRIES} entries")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         canon, known = Canon(listed), {}
@@ -214,13 +266,13 @@ def assign(values: DataFrame, key: str, value: str, entries: DataFrame) -> DataF
                         known.clear()
                     known[v] = canon.match(v)
                 out.append(known[v])
-            yield pd.DataFrame({"k": batch["k"], "v": batch["v"], "entry_id": [o[0] for o in out], "score": [o[1] for o in out], "pass": [o[2] for o in out]})
+            yield pd.DataFrame({"k": batch["k"], "v": batch["v"], "entry_id": [o[0] for o in out], "score": [o[1] for o in out], "pass": [o[2] for o in out], "mentions": [o[3] for o in out]})
 
     kind = values.schema[key].dataType.simpleString()
     rows = delivered_once(values.select(F.col(key).alias("k"), F.col(value).alias("v")).where(r"v rlike '[^\\s\\u00a0]'"), "k")
     # matching is slow for its few bytes, so tasks are many; by key, as one value may hold a third of all rows
     tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * values.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, F.xxhash64("k")).mapInPandas(run, f"k {kind}, v string, entry_id int, score double, pass string").withColumnsRenamed({"k": key, "v": value})
+    return rows.repartition(tasks, F.xxhash64("k")).mapInPandas(run, f"k {kind}, v string, entry_id int, score double, pass string, mentions array<int>").withColumnsRenamed({"k": key, "v": value})
 
 
 def unmatched(values: DataFrame, key: str, value: str, entries: DataFrame) -> DataFrame:

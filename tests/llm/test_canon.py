@@ -52,3 +52,28 @@ def test_rows(spark):
     assert C.assign(df.limit(0), "table_no", "section_title", entries).count() == 0
     assert {r.entry_id for r in C.assign(df, "table_no", "section_title", entries.limit(0)).collect()} == {0}
     assert {r.section_title[:7]: r.n_rows for r in C.unmatched(df, "table_no", "section_title", entries).collect()} == {"Funding": 1, "xxxxxxx": 1}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from([n.lower() for _, n, _ in LIST]), st.lists(st.tuples(st.integers(0, 40), st.sampled_from("aeirnlmtsx1 .")), max_size=5), st.booleans())
+def test_the_index_loses_no_entry(canon, name, edits_, cut):
+    text = list(name)
+    for at, c in edits_:
+        text[at % (len(text) or 1) : at % (len(text) or 1) + (at % 3)] = c
+    text = "".join(text)[: -3 if cut else None]
+    got = canon.similar(text)
+    whole = [(m[1], bool(m[2])) for m in C.re.finditer(r"([\w|!$’']+)(\.?)", text) if m[1] not in C.EMPTY]
+    squeezed = C.squeeze(C.re.sub(r"\b(?:and|&)\b", "and", text))
+    every = max((max(canon._by_words(whole, canon.words[i], s), C.alike(squeezed, C.squeeze(n)) - 0.02), -i) for i, n, s in canon.entries)
+    assert every[0] < C.LEAST or got == (every[0], -every[1])
+
+
+def test_all_mentions_that_do_not_overlap(canon):
+    assert canon.match("XRD and FTIR, then Results and discussion")[3] == [5, 15, 9]
+    assert canon.match("Catalyst preparation")[3] == [4] and canon.match("nothing")[3] == []
+
+
+def test_a_long_list_costs_no_comparison_with_each_entry():
+    names = [(i, f"{a}{b}{c} {b}{a} city", None) for i, (a, b, c) in enumerate((x, y, z) for x in ("bal", "tor", "min", "quel", "sham") for y in ("ando", "ieri", "ulsk", "ovnia", "erth") for z in ("grad", "ville", "mouth", "stedt", "holm", "polis", "fjord", "wick"))]
+    long = C.Canon(names)
+    assert long.similar("balandograd andobal citv")[1] == 0 and len(long.candidates("balandograd")) < len(names) / 2
