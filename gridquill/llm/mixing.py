@@ -46,7 +46,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> l
         n, most = have.get(t["source"], 0), t["most"] or 0
         budget = (t["share"] or 0.0) * whole
         rounds = min(most, int(budget // n)) if n else 0
-        out.append({"source": t["source"], "rounds": rounds, "rest": budget - rounds * n if n and rounds < most else 0.0, "budget": budget})
+        out.append({"source": t["source"], "rounds": rounds, "rest": budget - rounds * n if n and rounds < most else 0.0, "budget": budget, "whole": whole})
     return out
 
 
@@ -59,15 +59,12 @@ def thresholds(sizes: DataFrame, plan: list[dict]) -> dict[str, int]:
         if not open_:
             break
         shift = 60 - BITS * (level + 1)
-        here = F.lit(False)
-        for s in open_:
-            here = here | ((F.col("source") == s) & (F.lit(True) if not level else F.shiftright("h", depth) == (at[s] >> depth)))
-        cells = sizes.where(here).groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
-        limit = F.lit(0.0)
-        for s in open_:
-            limit = F.when(F.col("source") == s, F.lit(float(rest[s]))).otherwise(limit)
+        # the open sources with their bucket and what is wanted of it: a row each
+        wanted = F.broadcast(sizes.sparkSession.createDataFrame([(x, at[x] >> depth, float(rest[x])) for x in open_], "source string, bucket bigint, wanted double"))
+        inside = sizes.join(wanted, "source").where(F.shiftright("h", depth) == F.col("bucket"))
+        cells = inside.groupBy("source", "wanted", F.shiftright("h", shift).alias("b")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
         by = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**BITS cells a source
-        ends = cells.withColumn("sum", F.sum("n").over(by)).where(F.col("sum") > limit)
+        ends = cells.withColumn("sum", F.sum("n").over(by)).where(F.col("sum") > F.col("wanted"))
         found = ends.groupBy("source").agg(F.min_by(F.struct("b", "docs", "n", (F.col("sum") - F.col("n")).alias("before")), "b").alias("e")).collect()
         for r in found:
             s = r["source"]
@@ -91,28 +88,29 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, path
 
 def _taken(sizes: DataFrame, plan: list[dict]) -> DataFrame:
     under = thresholds(sizes, plan)
-    times = F.lit(0)
-    for p in plan:
-        taken = F.lit(p["rounds"]) + F.when(F.col("h") < under[p["source"]], 1).otherwise(0) if p["rest"] > 0 else F.lit(p["rounds"])
-        times = F.when(F.col("source") == p["source"], taken).otherwise(times)
-    return sizes.select("doc_id", "source", "n_tokens", times.cast("int").alias("times")).where("times > 0")
+    # a document below its source's threshold is taken once more; a row per target
+    rounds = F.broadcast(sizes.sparkSession.createDataFrame([(p["source"], p["rounds"], under[p["source"]] if p["rest"] > 0 else 0) for p in plan], "source string, rounds int, under bigint"))
+    times = F.col("rounds") + F.when(F.col("h") < F.col("under"), 1).otherwise(0)
+    return sizes.join(rounds, "source").select("doc_id", "source", "n_tokens", times.cast("int").alias("times")).where("times > 0")
 
 
 def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, path: str = VOCABULARY) -> DataFrame:
-    """source, target_share, max_repeats, documents, tokens, budget_tokens, actual_share, reached, one row per target.
+    """source, target_share, max_repeats, documents, tokens, budget_tokens, share_of_total, actual_share, reached: one row per target.
 
-    ``actual_share`` is of the mixture as it came out; ``reached`` says whether the source filled
-    its budget to a hundredth. Where a source falls short, the others' actual shares rise.
+    ``share_of_total`` is of the total that was to be mixed, ``actual_share`` of the mixture as it
+    came out: where a source can't fill its budget the mixture is smaller and the others' actual
+    shares rise. ``reached`` says whether the source came as near to its budget as one document of
+    it allows, or to a hundredth.
     """
     sizes = sized(documents, targets, path)
     plan = budgets(sizes, targets, total)
     mixed = _taken(sizes, plan)
-    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"))
+    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.max("n_tokens").alias("largest"))
     asked = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    out = asked.join(got, "source", "left").fillna(0, ["documents", "tokens"])
+    out = asked.join(got, "source", "left").fillna(0, ["documents", "tokens", "largest"])
     all_ = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # one row per target
     share = F.coalesce(F.try_divide(F.col("tokens").cast("double"), all_.cast("double")), F.lit(0.0))
-    budget = F.lit(0.0)
-    for p in plan:
-        budget = F.when(F.col("source") == p["source"], float(p["budget"])).otherwise(budget)
-    return out.withColumns({"budget_tokens": F.round(budget).cast("bigint"), "actual_share": share, "reached": F.col("tokens") >= 0.99 * budget})
+    wanted = F.broadcast(sizes.sparkSession.createDataFrame([(p["source"], float(p["budget"]), float(p["whole"])) for p in plan], "source string, budget double, whole double"))
+    out, budget = out.join(wanted, "source", "left"), F.col("budget")
+    near = F.greatest(F.col("largest").cast("double"), 0.01 * budget)
+    return out.withColumns({"budget_tokens": F.round(budget).cast("bigint"), "share_of_total": F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("whole")), F.lit(0.0)), "actual_share": share, "reached": F.abs(F.col("tokens") - budget) <= near}).drop("budget", "whole", "largest")
