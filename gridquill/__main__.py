@@ -67,9 +67,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "evaluate":
         rows = {r["field"]: {k: r[k] for k in ("accuracy", "precision", "recall", "f1")} for r in P.evaluate_files(spark, a.reference, a.prediction).collect()}  # six rows
         print(json.dumps(rows, indent=2))
-        if a.report:
+        if a.report:  # the summary, and beside it a line per document
             with open(a.report, "w", encoding="utf-8") as f:
                 json.dump(rows, f, indent=2)
+            P.evaluation_report(spark, a.reference, a.prediction).write.mode("overwrite").json(f"{a.report}.documents")
     elif a.command == "export":
         P.exported(S.read_corpus(spark, a.corpus), a.corpus).write.mode("overwrite").text(a.output)
     elif a.command == "link":

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +111,22 @@ def triples(documents: DataFrame, tables: DataFrame, mentions: DataFrame) -> Dat
     return d.unionByName(t).unionByName(c).unionByName(m)
 
 
-def turtle_lines(statements: DataFrame) -> DataFrame:
-    """value: Turtle text, one statement a line, to be written with ``write.text``."""
-    return statements.select(F.concat(F.concat_ws(" ", "s", "p", "o"), F.lit(" .")).alias("value"))
+#: Vocabularies of the statements. Those of a project (terms ``sc``, individuals ``inst``) have no public address here: give your own.
+PREFIXES = {"schema": "https://schema.org/", "prov": "http://www.w3.org/ns/prov#", "csvw": "http://www.w3.org/ns/csvw#", "xsd": "http://www.w3.org/2001/XMLSchema#", "sc": "urn:gridquill:terms#", "inst": "urn:gridquill:instance#"}
+
+
+def turtle_lines(statements: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """value: Turtle text, one statement a line, to be written with ``write.text``.
+
+    Each partition, so each file, opens with the prefixes and can be read alone; an empty one has
+    nothing else. ``prefixes`` replace or extend ``PREFIXES``.
+    """
+    head = [f"@prefix {name}: <{address}> ." for name, address in (PREFIXES | (prefixes or {})).items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], names=["value"])
+
+    lines = statements.select(F.concat(F.concat_ws(" ", "s", "p", "o"), F.lit(" .")).alias("value"))
+    return lines.mapInArrow(run, "value string")

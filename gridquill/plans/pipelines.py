@@ -43,18 +43,27 @@ def evaluate_files(spark: SparkSession, reference: str, prediction: str) -> Data
     return E.evaluate(gt, gc, pt, pc)
 
 
+def evaluation_report(spark: SparkSession, reference: str, prediction: str) -> DataFrame:
+    """One row per reference document: document_id, prediction_id, tables array<struct<...>> with every score of each table."""
+    (gt, gc, _), (pt, pc, _) = (S.relational(S.read_corpus(spark, p)) for p in (reference, prediction))
+    doc = lambda df: df.select("document_id", "source_pdf", F.lit(0).alias("doc_pos")).distinct()
+    scores = E.score_tables(gt, pt, gc, pc, E.matched_documents(doc(gt), doc(pt)))
+    each = F.struct(*[c for c in scores.columns if c not in ("gold_id", "pred_id")])
+    return scores.groupBy(F.col("gold_id").alias("document_id")).agg(F.max("pred_id").alias("prediction_id"), F.count_if("matched").alias("matched_tables"), F.sort_array(F.collect_list(each)).alias("tables"))  # a document's own tables
+
+
 def validated(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(violations, summary) of nested documents."""
     t = documents.select("document_id", F.explode("tables").alias("t")).select("document_id", "t.*", F.col("t.context.section_title").alias("section_title"), F.col("t.context.mentions").alias("mentions"), F.size("t.rows").alias("n_rows"), F.size("t.columns").alias("n_columns"))
     return C.violations(documents, t), C.corpus_summary(documents, t)
 
 
-def exported(documents: DataFrame, source: str) -> DataFrame:
-    """Turtle lines of a corpus; reference data of humans is refused."""
+def exported(documents: DataFrame, source: str, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """Turtle lines of a corpus, each file with its prefixes; reference data of humans is refused."""
     if is_protected(source):
         raise ValueError(f"{source} lies under a protected folder")
     tables, _, mentions = S.relational(documents)
-    return C.turtle_lines(C.triples(documents, tables, mentions.withColumn("mention_no", F.col("pos") + 1)))
+    return C.turtle_lines(C.triples(documents, tables, mentions.withColumn("mention_no", F.col("pos") + 1)), prefixes)
 
 
 def _options(names: dict[str, str]):
@@ -130,10 +139,25 @@ def link_claims(sentences: DataFrame, tables: DataFrame, model: type | None = No
     links = links.join(answers, [*key, "table_id"], "left")
     index = lambda c: (F.regexp_extract(F.coalesce(c, F.lit("")), r"^[rc](\d+)$", 1).try_cast("int") - 1)
     has_numbers = F.exists(N.stated(F.col("sentence")), lambda n: n["informative"])
-    links = links.withColumns({"row_index": index(F.col("row")), "column_index": index(F.col("column")), "status": L.status(F.col("exact"), F.col("rounded"), F.col("approx"), F.col("relation"), F.coalesce("relation_p", F.lit(0.0)), has_numbers)})
+    links = links.withColumns({"row_index": index(F.col("row")), "column_index": index(F.col("column"))})
+    kinds = [F.col(k) for k in ("exact", "rounded", "approx")]
+    if model is not None:  # the status rests on the row that the model picked, where numbers match in it
+        links = _focused(links, matches, key)
+        kinds = [F.when(F.col("in_selected_row") > 0, F.col(f"row_{k}")).otherwise(F.col(k)) for k in ("exact", "rounded", "approx")]
+    links = links.withColumn("status", L.status(*kinds, F.col("relation"), F.coalesce("relation_p", F.lit(0.0)), has_numbers)).drop("row_exact", "row_rounded", "row_approx")
     return records.drop("role_p", "type_p", "table_p"), links.drop("text", "row_options", "column_options", "table_p")
 
 
+def _focused(links: DataFrame, matches: DataFrame, key: list[str]) -> DataFrame:
+    """``links`` with in_selected_row, in_selected_cell (numbers that match there) and row_exact, row_rounded, row_approx of the selected row."""
+    own = links.where("row_index is not null").select(*key, "table_id", "row_index", "column_index")
+    there = matches.select(*key, "table_id", F.col("row").alias("at_row"), F.col("column").alias("at_column"), "kind")
+    both = own.join(there, [*key, "table_id"]).where("at_row = row_index")
+    kinds = [F.count_if(F.col("kind") == k).alias(f"row_{k}") for k in ("exact", "rounded", "approx")]
+    seen = both.groupBy(*key, "table_id").agg(*kinds, F.count(F.lit(1)).alias("in_selected_row"), F.count_if(F.col("at_column") == F.col("column_index")).alias("in_selected_cell"))
+    return links.join(seen, [*key, "table_id"], "left").fillna(0, ["in_selected_row", "in_selected_cell", "row_exact", "row_rounded", "row_approx"])
+
+
 def counted_links(sentences: DataFrame, tables: DataFrame, settings: LinkSettings | None = None) -> DataFrame:
     """status, link_sources, n of the links that ``link_claims`` gives without a model; the pairs are counted, not formed."""
     s = settings or LinkSettings()

@@ -33,6 +33,18 @@ def p1_mentions(spark: SparkSession, folder: str) -> DataFrame:
     return records.mentions(records.triples(read(spark, folder, "corpus_records")))
 
 
+def p1_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return records.rows(records.triples(read(spark, folder, "corpus_records")))
+
+
+def p1_children(spark: SparkSession, folder: str) -> DataFrame:
+    return records.children(records.triples(read(spark, folder, "corpus_records")))
+
+
+def p1_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    return records.rejects(read(spark, folder, "corpus_records"))
+
+
 def _measured(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
     return tuple(read(spark, folder, t) for t in ("gt_cells", "gt_tables", "gt_mentions", "unit_targets"))
 
@@ -49,7 +61,7 @@ def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
     return units.sources(*_measured(spark, folder))
 
 
-PROBLEMS = (p1_found, p1_documents, p1_tables, p1_cells, p1_mentions, p3_found, p3_converted, p3_sources)
+PROBLEMS = (p1_found, p1_documents, p1_tables, p1_cells, p1_mentions, p1_rows, p1_children, p1_rejects, p3_found, p3_converted, p3_sources)
 
 
 MODULES = (text_queries, corpus_queries)

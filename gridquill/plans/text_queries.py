@@ -15,23 +15,18 @@ from gridquill.operators import corpus as C
 from gridquill.operators import tables as tab
 from gridquill.plans import sql as S
 from gridquill.session import read
+from gridquill.sources import corpus as files
 from gridquill.sources import extractors as X
 
 SQL: dict[str, str] = {}
 
 
-def q_s1_scan(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
-
-
-SQL["q_s1_scan"] = "select source, lang, count(*) docs, sum(n_chars)::bigint chars from documents group by all"
-
-
 def q_s2_first_files(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "papers").select("source_pdf").distinct().orderBy("source_pdf").limit(25)
+    names = read(spark, d, "papers").select(F.element_at(F.split("source_pdf", "/"), -1).alias("name")).distinct()
+    return files.in_order(names, 25)
 
 
-SQL["q_s2_first_files"] = "select distinct source_pdf from papers order by source_pdf limit 25"
+SQL["q_s2_first_files"] = "select distinct string_split(source_pdf, '/')[-1] as name from papers order by name limit 25"
 
 
 def q_s3_working_set(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +45,7 @@ left join (select distinct source_pdf as name, true as found from papers where d
 
 def q_s4_name_match(spark: SparkSession, d: str) -> DataFrame:
     names = read(spark, d, "papers").select(F.col("source_pdf").alias("name")).distinct()
-    return names.where(F.lower("name").contains("tio2"))
+    return files.named_like(names, "TiO2")
 
 
 SQL["q_s4_name_match"] = "select distinct source_pdf as name from papers where contains(lower(source_pdf), 'tio2')"

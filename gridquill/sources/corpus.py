@@ -23,8 +23,14 @@ DOCUMENT = f"document_id string, source_pdf string, title string, num_tables int
 def files(spark: SparkSession, folder: str, pattern: str = "*.pdf", first: int | None = None) -> DataFrame:
     """path, name, length of a folder's files in name order, or of one file; contents aren't read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
-    named = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).orderBy("name")
-    return named.limit(first) if first else named
+    named = found.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return in_order(named, first)
+
+
+def in_order(named: DataFrame, first: int | None = None) -> DataFrame:
+    """Files in the order of their names, all or the first so many."""
+    ordered = named.orderBy("name")
+    return ordered.limit(first) if first else ordered
 
 
 def named_like(files_: DataFrame, part: str) -> DataFrame:
@@ -33,7 +39,6 @@ def named_like(files_: DataFrame, part: str) -> DataFrame:
 
 
 
-
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """documents of corpus or single-document JSON files, one row each: ``DOCUMENT`` with typed cells.
 

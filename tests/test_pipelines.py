@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,8 +32,14 @@ def test_from_pages_to_scores(spark, folder, capsys):
     assert json.loads(capsys.readouterr().out)["summary"]["tables"] == 2
     assert main(["evaluate", "--reference", out + "/*.txt", "--prediction", out + "/*.txt"], spark) == 0
     assert {v["f1"] for v in json.loads(capsys.readouterr().out).values()} == {1.0}
+    report = P.evaluation_report(spark, out + "/*.txt", out + "/*.txt").first()
+    assert (report.document_id, report.prediction_id, report.matched_tables) == ("p1", "p1", 2) and [t.cells for t in report.tables] == [1.0, 1.0]
     assert main(["export", "--corpus", out + "/*.txt", "--output", str(folder / "ttl")], spark) == 0
     assert spark.read.text(str(folder / "ttl")).where(F.col("value").contains("sc:TextMention")).count() == 1
+    for part in (folder / "ttl").glob("part-*"):
+        lines = part.read_text().splitlines()
+        used = {name for x in lines if not x.startswith("@prefix") for name in re.findall(r"(?:^|[\s\[])(\w+):\w", re.sub(r'"(?:[^"\\\\]|\\\\.)*"', '""', x))}
+        assert used <= {x.split()[1].rstrip(":") for x in lines if x.startswith("@prefix")} and len(lines) > 5
     with pytest.raises(ValueError):
         P.exported(docs, "data/gold/x.json")
     assert main(["link", "--corpus", out + "/*.txt", "--transcriptions", t, "--output", str(folder / "links")], spark) == 0
@@ -63,6 +70,18 @@ def test_a_model_decides(spark):
     assert got == {("1", "Table 1"): ["explicit_reference", "model+numeric"], ("1", "Table 2"): ["model"], ("2", "Table 1"): [], ("2", "Table 2"): ["model"]}
 
 
+def test_the_status_rests_on_the_selected_row(spark):
+    class SecondRow:
+        def predict(self, states, options):
+            return [{k: (0.9 if k in ("result", "T1", "r2", "contradicts") else 0.1 / len(o)) for k in o} for o in options]
+
+    pages = spark.createDataFrame([("d", 1, PAGE), ("d", 2, "## 3. Results\n\nThe surface area of BetaY reached 48.0 m2/g and that of AlphaX 61.5 m2/g, as Table 1 shows.")], "document_id string, page int, text string")
+    tables, _, _ = S.relational(P.generate(pages))
+    _, links = P.link_claims(P.X.document_sentences(pages), tables, SecondRow)
+    one = links.where("table_label = 'Table 1'").first()
+    assert (one.row_index, one.exact, one.approx) == (1, 1, 1) and one.in_selected_row == 1 and one.status == "approximatelyConsistent"
+
+
 def test_layout(tmp_path, monkeypatch):
     monkeypatch.setenv("GRIDQUILL_DATA_ROOT", str(tmp_path))
     assert Layout.at().merged("my ocr!").name == "corpus_my_ocr.json" and Layout.at("/x").predictions("").name == "tool.json"

@@ -53,3 +53,25 @@ def test_long_payload(spark):
     big = {**DOC, "tables": [{**TABLE, "rows": [["x", i] for i in range(20_000)]}]}
     df = spark.createDataFrame([(1, json.dumps(big))], "record_id bigint, payload string")
     assert R.entries(df).agg(F.max("item_no")).first()[0] == 20_000
+
+
+def test_further_arrays_of_objects_are_groups_of_their_own(spark):
+    doc = {**DOC, "authors": [{"name": "A", "labs": [{"city": "X"}, {"city": "Y"}]}, {"name": "B"}, "C"], "keys": ["a", "b"], "tables": [{**TABLE, "notes": [{"mark": "a", "n": 1}]}]}
+    df = spark.createDataFrame([(1, json.dumps(doc)), (1, json.dumps(doc))], "record_id bigint, payload string")
+    parsed = R.triples(df)
+    got = {(r.grp, tuple(r.child)): (r.table_id, r.fields) for r in R.children(parsed).collect()}
+    assert got == {
+        ("document/authors", (1,)): (None, {"name": "A"}), ("document/authors", (2,)): (None, {"name": "B"}), ("document/authors", (3,)): (None, {"value": "C"}),
+        ("document/authors/labs", (1, 1)): (None, {"city": "X"}), ("document/authors/labs", (1, 2)): (None, {"city": "Y"}), ("table/notes", (1,)): ("t1", {"mark": "a", "n": "1"}),
+    }
+    assert R.documents(parsed).first().other == {"new_field": '{"k": 1}', "keys": '["a", "b"]'}
+
+
+def test_rows_with_their_cells(spark):
+    got = {r.row_no: [(c.column, c.value) for c in r.cells] for r in R.rows(R.triples(records(spark).where("record_id = 1"))).collect()}
+    assert got == {1: [(None, "x"), (None, "1")], 2: [], 3: [("a", "2.0")]}
+
+
+def test_rejects_say_why(spark):
+    got = {r.record_id: r.reason for r in R.rejects(records(spark)).collect()}
+    assert got == {14: "incomplete", 15: "null", 16: "blank", 17: "void", 18: "blank"}
