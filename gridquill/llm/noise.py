@@ -333,13 +333,17 @@ def word_counts(items: DataFrame, pages: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).where("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own"))
 
 
-def vectors(texts_: DataFrame, n_words: int, least: float) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of unit length of the words that occur ``least`` times, from every row of a column ``words``."""
+def vectors(items: DataFrame, n_words: int, least: float) -> dict[str, np.ndarray]:
+    """Skip-gram vectors of unit length of the words that occur ``least`` times, from every text.
+
+    The texts are put into partitions and order by their ids, so that vectors don't depend on files.
+    """
     from pyspark.ml.feature import Word2Vec
 
     parts = max(2, n_words // 1_500_000)
     model = Word2Vec(vectorSize=VECTOR_SIZE, minCount=int(max(5, least)), windowSize=WINDOW, maxIter=1, numPartitions=parts, seed=7, inputCol="words", outputCol="v")
-    rows = model.fit(texts_).getVectors().collect()  # at most 1 / SHARE words
+    ordered = items.select("field", "item_id", words("text").alias("words")).repartition(parts, "field", "item_id").sortWithinPartitions("field", "item_id")
+    rows = model.fit(ordered).getVectors().collect()  # at most 1 / SHARE words
     out = {}
     for r in rows:
         v = r["vector"].toArray().astype(np.float32)
@@ -356,7 +360,7 @@ def learn(items: DataFrame, pages: DataFrame, with_vectors: bool = True) -> Lexi
     frequent = {r["word"]: r["n"] for r in counted.where(F.col("n") >= least).collect()}  # at most 1 / SHARE words
     own: dict[str, np.ndarray] = {}
     if with_vectors and (most or 0) >= max(5, least):
-        own = vectors(items.select(words("text").alias("words")), n_own, least)
+        own = vectors(items, n_own, least)
     return Lexicon(frequent, own, max(0.2, SHARE * whole / 8))
 
 
