@@ -40,6 +40,8 @@ PRIOR = 100.0
 LEAST_TIMES, CONTEXT = 5, 5.0
 #: Size of the vectors, words before and behind in learning and in judging, and frequent words among which a word's fit is ranked.
 VECTOR_SIZE, WINDOW, AROUND, RANKED = 24, 2, 4, 512
+#: Words from which one task learns.
+WORDS_A_PART = 500_000
 #: Pages within which a running header stands again; share of the documents that a form of headers must hold in.
 NEAR_PAGES, FORM_SHARE, FORM_LEAST = 5, 2e-3, 3
 #: Parts over which a document's texts are spread where they meet its headers.
@@ -340,7 +342,7 @@ def vectors(items: DataFrame, n_words: int, least: float) -> dict[str, np.ndarra
     """
     from pyspark.ml.feature import Word2Vec
 
-    parts = max(2, n_words // 1_500_000)
+    parts = max(2, n_words // WORDS_A_PART)
     model = Word2Vec(vectorSize=VECTOR_SIZE, minCount=int(max(5, least)), windowSize=WINDOW, maxIter=1, numPartitions=parts, seed=7, inputCol="words", outputCol="v")
     ordered = items.select("field", "item_id", words("text").alias("words")).repartition(parts, "field", "item_id").sortWithinPartitions("field", "item_id")
     rows = model.fit(ordered).getVectors().collect()  # at most 1 / SHARE words
