@@ -40,6 +40,8 @@ PRIOR = 100.0
 LEAST_TIMES, CONTEXT = 5, 5.0
 #: Size of the vectors, words before and behind in learning and in judging, and frequent words among which a word's fit is ranked.
 VECTOR_SIZE, WINDOW, AROUND, RANKED = 24, 2, 4, 512
+#: Share of all words of captions and mentions from which one is too common to say anything of its context.
+COMMON = 0.01
 #: Words from which one task learns.
 WORDS_A_PART = 500_000
 #: Pages within which a running header stands again; share of the documents that a form of headers must hold in.
@@ -335,16 +337,17 @@ def word_counts(items: DataFrame, pages: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).where("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own"))
 
 
-def vectors(items: DataFrame, n_words: int, least: float) -> dict[str, np.ndarray]:
+def vectors(items: DataFrame, n_words: int, least: float, common: Sequence[str] = ()) -> dict[str, np.ndarray]:
     """Skip-gram vectors of unit length of the words that occur ``least`` times, from every text.
 
     The texts are put into partitions and order by their ids, so that vectors don't depend on files.
+    ``common`` words ("the", "of") tell nothing of their neighbours and are passed over.
     """
     from pyspark.ml.feature import Word2Vec
 
     parts = max(2, n_words // WORDS_A_PART)
     model = Word2Vec(vectorSize=VECTOR_SIZE, minCount=int(max(5, least)), windowSize=WINDOW, maxIter=1, numPartitions=parts, seed=7, inputCol="words", outputCol="v")
-    ordered = items.select("field", "item_id", words("text").alias("words")).repartition(parts, "field", "item_id").sortWithinPartitions("field", "item_id")
+    ordered = items.select("field", "item_id", F.filter(words("text"), lambda w: ~w.isin(*common) & (w != "")).alias("words")).repartition(parts, "field", "item_id").sortWithinPartitions("field", "item_id")
     rows = model.fit(ordered).getVectors().collect()  # at most 1 / SHARE words
     out = {}
     for r in rows:
@@ -362,7 +365,8 @@ def learn(items: DataFrame, pages: DataFrame, with_vectors: bool = True) -> Lexi
     frequent = {r["word"]: r["n"] for r in counted.where(F.col("n") >= least).collect()}  # at most 1 / SHARE words
     own: dict[str, np.ndarray] = {}
     if with_vectors and (most or 0) >= max(5, least):
-        own = vectors(items, n_own, least)
+        common = [r["word"] for r in counted.where(F.col("own") > COMMON * n_own).select("word").collect()]  # fewer than 1 / COMMON
+        own = vectors(items, n_own, least, common)
     return Lexicon(frequent, own, max(0.2, SHARE * whole / 8))
 
 
