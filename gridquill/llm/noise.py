@@ -5,10 +5,10 @@ and page numbers removed, lines reflowed into paragraphs.
 
 The lexicon is learnt from all texts: words with at least ``SHARE`` of all tokens (so at most
 1 / SHARE of them) are frequent. A word is linked to the frequent words with the same glyph
-key, a key that is blind to the confusions of recognition (c/e, 1/l/i, rn/m, cl/d, ...). Skip-gram
-vectors, learnt from all captions and mentions, then judge each occurrence: how near the linked
-word lies to the words around, among all frequent words, is weighed against how much more
-frequent it is. Only an occurrence for which both together speak is a misreading; of several
+key, a key that is blind to the confusions of recognition (c/e, 1/l/i, rn/m, cl/d, ...). Word
+vectors, learnt from all captions and mentions by factorising how often words stand close to each
+other, then judge each occurrence: how near the linked word lies to the words around, among all
+frequent words, is weighed against how much more frequent it is. Only an occurrence for which both together speak is a misreading; of several
 linked words the likeliest is taken.
 
 A document's running headers are the lines that open or close pages which stand close together,
@@ -26,10 +26,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquill.llm.canon import distance, fold, glyph_keys
+from gridquill.llm.canon import CONFUSED, READ_AS, distance, glyph_keys
 from gridquill.session import settled
 
 #: Least share and number of a frequent word; how much more frequent a word must be than its misreading.
@@ -42,8 +44,10 @@ LEAST_TIMES, CONTEXT = 5, 5.0
 VECTOR_SIZE, WINDOW, AROUND, RANKED = 24, 2, 4, 512
 #: Share of all words of captions and mentions from which one is too common to say anything of its context.
 COMMON = 0.01
-#: Words from which one task learns.
-WORDS_A_PART = 500_000
+#: Texts that are split into words at once.
+ROWS_SPLIT = 1000
+#: Dimensions of the factorisation beyond those kept, passes over the pairs, and pairs that one task holds while it counts.
+SPARE, PASSES, PAIRS_HELD = 16, 3, 4_000_000
 #: Pages within which a running header stands again; share of the documents that a form of headers must hold in.
 NEAR_PAGES, FORM_SHARE, FORM_LEAST = 5, 2e-3, 3
 #: Parts over which a document's texts are spread where they meet its headers.
@@ -51,9 +55,14 @@ SALTS = 16
 #: Signs at which a layout divides words; ligature signs and their letters.
 DIVIDERS = "-¬­‐‑"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-SPREAD = str.maketrans(LIGATURES)
+#: The confusions of ``fold``, which are ASCII, on the bytes of a text.
+GLYPHS = bytes(ord(CONFUSED.get(k, chr(k))) for k in range(256))
+GLYPH_PAIRS = [(pair.encode(), one.encode()) for pair, one in READ_AS]
 PAGE_NUMBER = re.compile(r"(?:(?:page|p\.|pg\.?|seite|s\.)\s*)?[–—|\[({-]*\s*(?:S-?)?\d{1,4}\s*[–—|\])}-]*|page\s+\d{1,4}\s+of\s+\d{1,4}|\d{1,4}\s*/\s*\d{1,4}", re.I)
+#: What parts words.
+BETWEEN = r"[^\p{L}\p{N}|!$-]+"
 AT_GAP = re.compile(rf"[{DIVIDERS}]\s")
+NUMBER = re.compile(r"\d+")
 PIECE = re.compile(r"\d+|[^\W\d_]+\.?|[^\w\s]")
 #: A long small word, as no form of headers has.
 SMALL = re.compile(r"(?<![^\W_])[a-z]{4}")
@@ -182,7 +191,19 @@ def _form_pattern(kinds: str) -> re.Pattern[str]:
 
 def _flat(text: str) -> str:
     """For comparing headers: lower case, digits masked, glyph key, single spaces."""
-    return re.sub(r"\s+", " ", re.sub(r"\d+", "#", fold(re.sub(r"\d", "7", text.lower())))).strip()
+    glyphs = NUMBER.sub("#", text.lower()).encode("utf-8", "surrogatepass").translate(GLYPHS)  # as fold() does, for whole texts
+    for pair, one in GLYPH_PAIRS:
+        glyphs = glyphs.replace(pair, one)
+    return " ".join(glyphs.decode("utf-8", "surrogatepass").split())
+
+
+def _spread(text: str) -> str:
+    """Ligature signs as letters."""
+    if not text.isascii():
+        for sign, letters in LIGATURES.items():
+            if sign in text:
+                text = text.replace(sign, letters)
+    return text
 
 
 def _header_pattern(header: str) -> re.Pattern[str]:
@@ -203,7 +224,8 @@ class Repair:
         numbers = {" ".join(f[f.index("#") : len(f) - f[::-1].index("#")]) for f in special}
         self.sign = re.compile("|".join(r"\s?".join(r"\d+" if k == "#" else re.escape(k) for k in n.split(" ")) for n in sorted(numbers))) if numbers else None
         self.flat: dict[str, str] = {}
-        self.sound: dict[str, bool] = {}
+        self.sound: set[str] = set()
+        self.unsound: set[str] = set()
 
     def header(self, text: str, headers: Sequence[str]) -> tuple[str, bool]:
         found, flat = False, _flat(text) if len(headers) else ""
@@ -269,17 +291,17 @@ class Repair:
         return sign != "-" or not (self.lexicon.known(a) and self.lexicon.known(b))
 
     def characters(self, text: str) -> tuple[str, bool]:
-        suspect = False
-        for token in text.split():
-            sound = self.sound.get(token)
-            if sound is None:
-                if len(self.sound) > 200_000:
-                    self.sound.clear()
-                sound = self.sound[token] = not self._misread(token)
-            suspect |= not sound
-        if not suspect:
+        tokens = text.split()
+        if self.sound.issuperset(tokens):
+            return text, False
+        new = set(tokens) - self.sound - self.unsound
+        if len(self.sound) + len(self.unsound) + len(new) > 200_000:
+            self.sound, self.unsound, new = set(), set(), set(tokens)
+        for token in new:
+            (self.unsound if self._misread(token) else self.sound).add(token)
+        if self.unsound.isdisjoint(tokens):
             return text, False
-        plain = text.translate(SPREAD)
+        plain = _spread(text)
         found = plain != text
         words = [(m[0], m.start(), m.end()) for m in WORD.finditer(plain)]
         out, at = [], 0
@@ -294,7 +316,7 @@ class Repair:
         return "".join(out) + plain[at:] if out else plain, found
 
     def _misread(self, token: str) -> bool:
-        plain = token.translate(SPREAD)
+        plain = _spread(token)
         return plain != token or any(self.lexicon.linked(m[0].lower()) for m in WORD.finditer(plain))
 
     def reflow(self, text: str) -> str:
@@ -326,47 +348,125 @@ def texts(tables: DataFrame, mentions: DataFrame) -> DataFrame:
     )
 
 
-def words(text: Column | str) -> Column:
-    """The words of a text, lower case, compounds whole."""
-    return F.split(F.lower(text), r"[^\p{L}\p{N}|!$-]+")
+def words(texts_: pa.Array) -> pa.Array:
+    """Lists of the words of lower-case texts, compounds whole."""
+    return pc.split_pattern_regex(texts_, BETWEEN)
 
 
 def word_counts(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """word, n, own over two one-column relations of texts; ``own`` are its occurrences in the first."""
-    parts = [c.select(F.explode(words(F.col(c.columns[0]))).alias("word"), F.lit(own).alias("own")) for c, own in ((items, 1), (pages, 0))]
-    return parts[0].unionByName(parts[1]).where("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own"))
+    """word, n, own over two one-column relations of texts; ``own`` are its occurrences in the first. Single letters are counted there only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [pc.list_flatten(words(batch.column(0).slice(k, ROWS_SPLIT))).value_counts() for k in range(0, len(batch), ROWS_SPLIT)]
+            every = pa.table([pa.chunked_array([x.field(k) for x in parts], t) for k, t in enumerate((pa.string(), pa.int64()))], ["word", "n"])
+            yield from every.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches()
 
+    parts = [c.select(F.lower(F.col(c.columns[0])).alias("text")).where("text <> ''").mapInArrow(run, "word string, n bigint").select("word", "n", own.alias("own")) for c, own in ((items, F.col("n")), (pages, F.lit(0).cast("bigint")))]
+    return parts[0].unionByName(parts[1]).where("length(word) > 1 or own > 0 and word <> ''").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
 
-def vectors(items: DataFrame, n_words: int, least: float, common: Sequence[str] = ()) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of unit length of the words that occur ``least`` times, from every text.
 
-    The texts are put into partitions and order by their ids, so that vectors don't depend on files.
-    ``common`` words ("the", "of") tell nothing of their neighbours and are passed over.
+def pair_counts(items: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """a, b, n: how often two words of the vocabulary (by number, a <= b) stand within ``WINDOW`` of each other, the nearest counted most.
+
+    Words outside the vocabulary are passed over, as in skip-gram learning. Counts are integers, so
+    they don't depend on how the texts are laid out.
     """
-    from pyspark.ml.feature import Word2Vec
+    shared, size = items.sparkSession.sparkContext.broadcast(list(vocabulary)), len(vocabulary)
+
+    def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return code, np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+
+    def rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array((code // size).astype(np.int32)), pa.array((code % size).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
 
-    parts = max(2, n_words // WORDS_A_PART)
-    model = Word2Vec(vectorSize=VECTOR_SIZE, minCount=int(max(5, least)), windowSize=WINDOW, maxIter=1, numPartitions=parts, seed=7, inputCol="words", outputCol="v")
-    ordered = items.select("field", "item_id", F.filter(words("text"), lambda w: ~w.isin(*common) & (w != "")).alias("words")).repartition(parts, "field", "item_id").sortWithinPartitions("field", "item_id")
-    rows = model.fit(ordered).getVectors().collect()  # at most 1 / SHARE words
-    out = {}
-    for r in rows:
-        v = r["vector"].toArray().astype(np.float32)
-        out[r["word"]] = v / (np.linalg.norm(v) or 1.0)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pa.array(shared.value, pa.string())
+        codes, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            split = words(batch.column("text"))
+            found = pc.index_in(pc.list_flatten(split), value_set=index)
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy(zero_copy_only=False))[known]
+            word = found.drop_null().to_numpy().astype(np.int64)
+            for far in range(1, WINDOW + 1):
+                same = text[:-far] == text[far:]
+                one, other = word[:-far][same], word[far:][same]
+                codes.append(np.minimum(one, other) * size + np.maximum(one, other))
+                counts.append(np.full(len(one), WINDOW + 1 - far))
+                held += len(one)
+            if held > PAIRS_HELD:
+                code, n = summed(codes, counts)
+                codes, counts, held = [code], [n], len(code)
+                if held > PAIRS_HELD // 2:
+                    yield rows(code, n)
+                    codes, counts, held = [code[:0]], [n[:0]], 0
+        yield rows(*summed(codes, counts))
+
+    return items.select(F.lower("text").alias("text")).mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def vectors(items: DataFrame, vocabulary: Sequence[str]) -> dict[str, np.ndarray]:
+    """Vectors of unit length of the vocabulary's words, from every text.
+
+    What skip-gram learning with negative samples approaches step by step is the factorisation of
+    how much more often two words meet than by chance (their pointwise mutual information). Here
+    it is factorised itself, by subspace iteration over the counted pairs: each pass multiplies
+    it with a few columns. So vectors depend neither on files nor on the order of texts.
+    """
+    size = len(vocabulary)
+    if not size:
+        return {}
+    both_ways = "inline(if(a = b, array(named_struct('a', a, 'b', b)), array(named_struct('a', a, 'b', b), named_struct('a', b, 'b', a))))"
+    pairs = settled(pair_counts(items, vocabulary).selectExpr(both_ways, "n").repartition("a").sortWithinPartitions("a", "b"))
+    context, sums = items.sparkSession.sparkContext, np.zeros(size)
+    for r in pairs.groupBy("a").agg(F.sum("n").alias("n")).collect():  # at most 1 / SHARE words
+        sums[r["a"]] = r["n"]
+
+    def times(columns: np.ndarray) -> np.ndarray:
+        width, shared = columns.shape[1], context.broadcast((columns.astype(np.float32), sums))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by, total = shared.value
+            for batch in batches:
+                a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+                if len(a):
+                    more = np.maximum(np.log(n * total.sum() / (total[a] * total[b])), 0)
+                    starts = np.flatnonzero(np.diff(a, prepend=-1))
+                    got = np.add.reduceat(more[:, None] * by[b], starts).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.ListArray.from_arrays(np.arange(len(starts) + 1, dtype=np.int32) * width, got.ravel())], ["a", "v"])
+
+        got = pairs.mapInArrow(run, "a int, v array<float>").toArrow()
+        out = np.zeros((size, width))
+        np.add.at(out, got["a"].to_numpy(), pc.list_flatten(got["v"]).to_numpy().reshape(-1, width))
+        shared.destroy()
+        return out
+
+    basis = np.random.default_rng(7).normal(size=(size, min(size, VECTOR_SIZE + SPARE)))
+    for _ in range(PASSES):
+        basis = np.linalg.qr(basis)[0]
+        got = times(basis)
+        last, basis = basis, got
+    value, turn = np.linalg.eigh((last.T @ got + got.T @ last) / 2)
+    best = [k for k in np.argsort(-value)[:VECTOR_SIZE] if value[k] > 1e-6]
+    own = last @ turn[:, best] * np.sqrt(value[best])
+    length = np.linalg.norm(own, axis=1)
+    return {w: (v / d).astype(np.float32) for w, v, d in zip(vocabulary, own, length, strict=True) if d > 1e-6}
 
 
 def learn(items: DataFrame, pages: DataFrame, with_vectors: bool = True) -> Lexicon:
     """The lexicon of all captions, mentions and pages."""
     counted = settled(word_counts(items.select("text"), pages.select("text")).where(f"n >= {LEAST}"))
-    whole, n_own, most = counted.agg(F.sum("n"), F.sum("own"), F.max("own")).first()
+    whole, n_own = counted.where("length(word) > 1").agg(F.sum("n"), F.sum("own")).first()
     whole = whole or 0
     least = max(LEAST, SHARE * whole)
-    frequent = {r["word"]: r["n"] for r in counted.where(F.col("n") >= least).collect()}  # at most 1 / SHARE words
+    frequent = {r["word"]: r["n"] for r in counted.where((F.col("n") >= least) & (F.length("word") > 1)).collect()}  # at most 1 / SHARE words
     own: dict[str, np.ndarray] = {}
-    if with_vectors and (most or 0) >= max(5, least):
-        common = [r["word"] for r in counted.where(F.col("own") > COMMON * n_own).select("word").collect()]  # fewer than 1 / COMMON
-        own = vectors(items, n_own, least, common)
+    if with_vectors:
+        # words too common ("the", "of") tell nothing of their neighbours and are passed over
+        learnt = counted.where((F.col("own") >= int(max(5, least))) & (F.col("own") <= COMMON * (n_own or 0)))
+        own = vectors(items, sorted(r["word"] for r in learnt.select("word").collect()))
     return Lexicon(frequent, own, max(0.2, SHARE * whole / 8))
 
 
@@ -408,7 +508,7 @@ def forms_of(lines: DataFrame) -> list[str]:
 
 def with_headers(items: DataFrame, lines: DataFrame) -> DataFrame:
     """``items`` with the headers of their document, whose texts are spread over ``SALTS`` parts."""
-    headers = lines.groupBy("document_id").agg(F.collect_list("header").alias("headers")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    headers = lines.groupBy("document_id").agg(F.sort_array(F.collect_list("header")).alias("headers")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = items.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int"))
     return salted.join(headers, ["document_id", "salt"], "left").drop("salt")
 
