@@ -440,7 +440,7 @@ def _numbers_and_cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFram
 
 def q_l3_matches(spark: SparkSession, d: str) -> DataFrame:
     m = L.numeric_matches(*_numbers_and_cells(spark, d))
-    return m.where("kind <> 'rounded'").select("sentence_id", "table_id", "kind").unionByName(m.where("kind = 'rounded'").select("sentence_id", "table_id", F.lit("approx").alias("kind")))
+    return m.select("sentence_id", "table_id", F.when(F.col("kind") == "rounded", "approx").otherwise(F.col("kind")).alias("kind"))
 
 
 SQL["q_l3_matches"] = """
