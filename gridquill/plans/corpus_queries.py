@@ -15,7 +15,7 @@ from gridquill.operators import corpus as C
 from gridquill.operators import evaluate as E
 from gridquill.plans import pipelines as P
 from gridquill.plans import sql as S
-from gridquill.session import read, shared_folder
+from gridquill.session import beside, read, shared_folder
 from gridquill.sources.corpus import ground_truth
 from gridquill.streaming import incremental as stream
 
@@ -599,9 +599,10 @@ def q_l13_link_run(spark: SparkSession, d: str) -> DataFrame:
     t, c = ground_truth(spark, d)
     m = read(spark, d, "gt_mentions").dropDuplicates(["mention_id"]).where("text is not null")
     sentences = m.select("document_id", F.col("mention_id").alias("sent_pos"), _text("s", _str("mention_id")).alias("sentence_id"), "page", F.lit("3. Results").alias("section"), T.scientific(F.col("text")).alias("text")).withColumn("table_refs", T.table_references(F.col("text")))
+    c = c.repartition("table_id")  # both groupings and the join then need no further exchange of cells
     row = c.groupBy("table_id", "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_no", "cell"))), lambda x: x["cell"]).alias("r"))
     grid = row.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "r"))), lambda x: x["r"]).alias("rows"))
-    tables = t.drop("mentions").withColumn("caption", F.coalesce("caption", F.lit(""))).join(grid, "table_id")
+    tables = t.drop("mentions").withColumn("caption", F.coalesce("caption", F.lit(""))).join(beside(grid), "table_id")
     links = P.counted_links(sentences, tables)
     return links.select("status", F.array_join("link_sources", "+").alias("sources"), "n")
 

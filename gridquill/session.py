@@ -49,6 +49,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def beside(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which it grows with the input: never sent through the driver.
+
+    Rows of long texts or arrays, exploded ones most of all, are many times what Spark estimates,
+    so its threshold for broadcasts doesn't hold them back.
+    """
+    return df.hint("merge")
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{folder}/{table}.parquet")

@@ -52,3 +52,17 @@ def test_run_pairs_sentences_with_all_tables_of_their_document(spark, small):
     most = candidates.join(t.select("document_id", "table_id"), "document_id").count()
     got = sum(r.n for r in Q.q_l13_link_run(spark, small).collect())
     assert 0.95 * most < got <= most  # all but the candidates that are dumps of a table
+
+
+def test_nothing_that_grows_is_broadcast(spark, compendium, monkeypatch):
+    plans = []
+
+    def settled(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(P, "settled", settled)
+    monkeypatch.setattr(P.L, "settled", settled)
+    settled(P.counted_links(*compendium))
+    assert len(plans) == 6 and "Broadcast" not in "".join(plans)
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 8
