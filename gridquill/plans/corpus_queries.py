@@ -596,13 +596,14 @@ select labeled, missing_sentences, text_mismatches, recovered_by_text, tp, fp, f
 
 def q_l13_link_run(spark: SparkSession, d: str) -> DataFrame:
     """A whole linking run without a model: mentions as sentences, the reference's tables; links by status and source."""
-    t, c = ground_truth(spark, d)
+    t, _ = ground_truth(spark, d)
     m = read(spark, d, "gt_mentions").dropDuplicates(["mention_id"]).where("text is not null")
     sentences = m.select("document_id", F.col("mention_id").alias("sent_pos"), _text("s", _str("mention_id")).alias("sentence_id"), "page", F.lit("3. Results").alias("section"), T.scientific(F.col("text")).alias("text")).withColumn("table_refs", T.table_references(F.col("text")))
-    c = c.repartition("table_id")  # both groupings and the join then need no further exchange of cells
-    row = c.groupBy("table_id", "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_no", "cell"))), lambda x: x["cell"]).alias("r"))
-    grid = row.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "r"))), lambda x: x["r"]).alias("rows"))
-    tables = t.drop("mentions").withColumn("caption", F.coalesce("caption", F.lit(""))).join(beside(grid), "table_id")
+    # a table's cells lie together, so that deliveries, rows and tables need one exchange of cells
+    c = read(spark, d, "gt_cells").select("table_no", "cell_id", "row_no", "col_no", "cell").repartition("table_no").dropDuplicates(["table_no", "cell_id"])
+    row = c.groupBy("table_no", "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_no", "cell"))), lambda x: x["cell"]).alias("r"))
+    grid = row.groupBy(F.col("table_no").cast("int").alias("table_pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "r"))), lambda x: x["r"]).alias("rows"))
+    tables = t.drop("mentions").withColumn("caption", F.coalesce("caption", F.lit(""))).join(beside(grid), "table_pos")
     links = P.counted_links(sentences, tables)
     return links.select("status", F.array_join("link_sources", "+").alias("sources"), "n")
 

@@ -63,6 +63,10 @@ def test_nothing_that_grows_is_broadcast(spark, compendium, monkeypatch):
 
     monkeypatch.setattr(P, "settled", settled)
     monkeypatch.setattr(P.L, "settled", settled)
-    settled(P.counted_links(*compendium))
+    spark.conf.set("spark.sql.defaultSizeInBytes", "1000")  # as little as Spark may take tables for
+    try:
+        settled(P.counted_links(*compendium))
+    finally:
+        spark.conf.unset("spark.sql.defaultSizeInBytes")
     assert len(plans) == 6 and "Broadcast" not in "".join(plans)
     assert sum(p.count("SortMergeJoin") for p in plans) >= 8
